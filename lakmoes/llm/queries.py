@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakmoes.llm import lines
+from lakmoes.llm import encoding, leaks, lines, packing
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,6 +37,48 @@ def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
     return lines.remove_lines(docs.select("doc_id", "text"), found, "doc_id").select("doc_id", F.col("n_weg").cast("bigint").alias("n_weg"), F.sha2("schoon", 256).alias("schoon_sha256"))
 
 
+_P3 = (("documents", "doc_id", "text"), ("bron_document", "rij_id", "text"), ("files", "file_id", "titel"))
+
+
+def p3_words(spark: SparkSession, sf: str) -> DataFrame:
+    a, b, c = (encoding.words_of(table(spark, sf, t), t, i, x) for t, i, x in _P3)
+    return a.unionByName(b).unionByName(c)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.found(p3_words(spark, sf))
+
+
+def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
+    a, b, c = (table(spark, sf, t).select(F.lit(t).alias("tabel"), F.col(i).cast("bigint").alias("id"), F.col(x).alias("text")) for t, i, x in _P3)
+    return encoding.restore(a.unionByName(b).unionByName(c), encoding.garbled_words(p3_words(spark, sf)))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.oversized(packing.sizes(table(spark, sf, "documents"), table(spark, sf, "bakken")))
+
+
+def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(packing.sizes(table(spark, sf, "documents"), table(spark, sf, "bakken")))
+
+
+def p6_room(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.room_left(p6_pack(spark, sf))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    hits = leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return hits.groupBy("item_id").agg(F.count("*").alias("documenten"), F.max("woorden").alias("langste"))
+
+
+def p7_proximity(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.proximity(leaks.build_index(table(spark, sf, "documents")), table(spark, sf, "eval_items"))
+
+
 _P1 = r"""
 WITH t AS (SELECT 'documents' AS tabel, source AS bron, doc_id AS id, text FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT 'bron_document', bron, rij_id, text FROM bron_document WHERE text IS NOT NULL),
@@ -47,11 +89,20 @@ g AS (SELECT tabel, bron, k, count(DISTINCT id) AS c FROM k WHERE length(k) >= 1
 r AS (SELECT g.tabel, g.bron, g.k FROM g JOIN n ON g.tabel = n.tabel AND g.bron IS NOT DISTINCT FROM n.bron WHERE c >= 3 AND c * 100 >= n.n * 15)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean}
+_P7 = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items),
+d AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM dw)),
+i AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw))
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p3_found": p3_found, "p3_restored": p3_restored, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity}
 
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT k.tabel, k.id, CAST(regel_nr AS INTEGER) AS regel_nr FROM k JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k",
     "p1_clean": _P1 + """, d AS (SELECT l.id, list(l.regel ORDER BY l.regel_nr) FILTER (WHERE r.k IS NULL) AS over_, count(r.k) AS n_weg FROM l JOIN k ON l.tabel = k.tabel AND l.id = k.id AND l.regel_nr = k.regel_nr
 LEFT JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k WHERE l.tabel = 'documents' GROUP BY l.id)
 SELECT id AS doc_id, n_weg, sha256(coalesce(array_to_string(over_, chr(10)), '')) AS schoon_sha256 FROM d""",
+    "p6_found": "SELECT CAST(capaciteit AS BIGINT) AS capaciteit, doc_id FROM documents, bakken WHERE octet_length(encode(text)) + 1 > capaciteit",
+    "p7_found": _P7 + "SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.w = i.w",
 }
