@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakmoes.llm import encoding, leaks, lines, packing
+from lakmoes.llm import encoding, leaks, lines, packing, pii
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,6 +54,28 @@ def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.restore(a.unionByName(b).unionByName(c), encoding.garbled_words(p3_words(spark, sf)))
 
 
+def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
+    bron = table(spark, sf, "bron_document")
+    parts = [
+        table(spark, sf, "documents").select(F.lit("documents").alias("tabel"), F.col("doc_id").alias("id"), F.lit(-1).alias("chunk_idx"), "text"),
+        bron.select(F.lit("bron_document").alias("tabel"), F.col("rij_id").alias("id"), F.lit(-1).alias("chunk_idx"), "text"),
+        bron.select("rij_id", F.explode("chunks").alias("c")).select(F.lit("bron_document").alias("tabel"), F.col("rij_id").alias("id"), F.col("c.idx").alias("chunk_idx"), F.col("c.text").alias("text")),
+        table(spark, sf, "findings").select(F.lit("findings").alias("tabel"), F.col("finding_id").alias("id"), F.lit(-1).alias("chunk_idx"), F.col("context").alias("text")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.values(p4_texts(spark, sf)).drop("end_pos")
+
+
+def p4_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.mask(p4_texts(spark, sf))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return packing.oversized(packing.sizes(table(spark, sf, "documents"), table(spark, sf, "bakken")))
 
@@ -96,7 +118,7 @@ d AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT doc_id, w
 i AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p3_found": p3_found, "p3_restored": p3_restored, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity}
 
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT k.tabel, k.id, CAST(regel_nr AS INTEGER) AS regel_nr FROM k JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k",
