@@ -81,6 +81,7 @@ BEFORE_POSTCODE = re.compile(r"[ \t\xa0]*[,(\n]?[ \t\xa0\n]*(?:NL-)?")
 POST_HOUSE = re.compile(r"\)?[ \xa0,]{0,3}(?:(?:huisnummer|nummer|huisnr\.?|nr\.?)[ \xa0:]{0,2}|(?<=[A-Z])[ \xa0,]{1,2}|-)(?P<nr>\d{1,5})(?:[ ]?(?:bis|hs|[a-zA-Z])(?!\w))?(?![\w*]|[.,:]\d)", re.I)
 STREET_WORD = re.compile(rf"(?:(?:{FIRST_WORDS})[ -]|[{_UP}][\w'’]+-)?[{_UP}][{_IN}]*$")
 STREET_UPPER = re.compile(rf"(?:(?:{FIRST_WORDS.upper()})[ -])?[{_UP}][{_UP}\x80-\U0010ffff'’]*$")
+POST_PAIR = re.compile(r"\d{4}[ \xa0]?[A-Z]{2}$")
 PO_BOX = re.compile(r"(?i)(?:postbus|p\.?o\.? box|antwoordnummer)\s*\d+\s*[,\n]?\s*$")
 #: Pairs that follow a year or a time in running text and so are no postcode, if a bare number follows.
 NO_POSTCODE = ("OM", "OP", "IN", "EN", "OF", "TE", "TM", "VA", "IS", "ER", "NA", "AF", "UR", "AM", "PM", "AT", "ON", "TO", "SA", "SD", "SS")
@@ -244,6 +245,8 @@ def find(text: str | None, given: tuple[str, ...]) -> list[tuple[str, int, int]]
         if (x := _postcode(text, m)) is not None:
             hits["adres"].append(x)
     for end in titles:
+        if POST_PAIR.search(text, max(0, end - 8), end):
+            continue
         g = TITLE_GAP.match(text, end)
         m = AFTER_TITLE.match(text, g.end()) if g else None
         if m and not _is_title(m[0]) and not _no_surname(text, m.span()):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakmoes.llm import encoding, leaks, lines, packing, pii
+from lakmoes.llm import dedup, encoding, leaks, lines, packing, pii
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
     return lines.remove_lines(docs.select("doc_id", "text"), found, "doc_id").select("doc_id", F.col("n_weg").cast("bigint").alias("n_weg"), F.sha2("schoon", 256).alias("schoon_sha256"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.repeats(table(spark, sf, "files"), table(spark, sf, "documents").select("file_id", "text"))
+
+
 _P3 = (("documents", "doc_id", "text"), ("bron_document", "rij_id", "text"), ("files", "file_id", "titel"))
 
 
@@ -118,7 +122,7 @@ d AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT doc_id, w
 i AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity}
 
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT k.tabel, k.id, CAST(regel_nr AS INTEGER) AS regel_nr FROM k JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k",
