@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakmoes.llm import dedup, encoding, leaks, lines, packing, pii
+from lakmoes.llm import areas, dedup, encoding, leaks, lines, packing, pii
+
+from lakmoes.plans.stage import stage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,8 +27,6 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    from lakmoes.plans.stage import stage
-
     patterns, _, _ = lines.prefixspan(stage(p1_sequences(spark, sf), "p1-seqs"))
     return patterns.select("tabel", "source", "length", "support", F.hex(F.col("p")).alias("patroon"))
 
@@ -105,6 +105,26 @@ def p7_proximity(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.proximity(leaks.build_index(table(spark, sf, "documents")), table(spark, sf, "eval_items"))
 
 
+def _assigned(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return areas.assign(docs, areas.mine(docs, table(spark, sf, "area_labels"), table(spark, sf, "areas")))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(spark, sf).select("doc_id", "area")
+
+
+def p8_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    found = _assigned(spark, sf).select(F.col("doc_id").alias("d"), "area")
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    return docs.join(found, F.col("doc_id") == F.col("d")).groupBy("source", "area").agg(F.count("*").alias("documenten"))
+
+
+def p8_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rules = areas.mine(table(spark, sf, "documents"), table(spark, sf, "area_labels"), table(spark, sf, "areas"))
+    return spark.createDataFrame(rules.text, "woorden string, area string, zinnen int, zekerheid double")
+
+
 _P1 = r"""
 WITH t AS (SELECT 'documents' AS tabel, source AS bron, doc_id AS id, text FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT 'bron_document', bron, rij_id, text FROM bron_document WHERE text IS NOT NULL),
@@ -122,7 +142,7 @@ d AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT doc_id, w
 i AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules}
 
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT k.tabel, k.id, CAST(regel_nr AS INTEGER) AS regel_nr FROM k JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k",
