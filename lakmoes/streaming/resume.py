@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from lakmoes.operators.detectors import scan_documents
 
 
-def documents(spark: SparkSession, path: str, schema: str, files_per_batch: int = 64) -> DataFrame:
+def documents(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
