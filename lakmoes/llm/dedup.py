@@ -35,6 +35,8 @@ SIMILAR = (7, 10)
 #: Bits of a sign in the index; verification takes 64. More only cost room, fewer only candidates.
 BITS = 40
 RANGE_SIGNS = 4_000_000
+#: Signs among the first ones of more texts than this are joined together with a second one.
+HOT = 1000
 _SIG_WORDS = 4
 
 
@@ -129,6 +131,9 @@ def _spread(bits: int):
     return run
 
 
+_POSTING = "sign long, file_id long, n int, pos int, extra boolean"
+
+
 def rarity_code(count: np.ndarray) -> np.ndarray:
     """A count as one byte that rises with it: exact up to 200, by quarters of a doubling beyond."""
     far = 200 + np.ceil(4 * np.log2(np.maximum(count, 200) / 200))
@@ -146,7 +151,9 @@ def _tally(table: pa.Table) -> pa.Table:
     return pa.table({"seg": table.column("seg"), "bereik": table.column("bereik"), "codes": pa.array(blobs, pa.binary())})
 
 
-def _prefixes(num: int, den: int):
+def _prefixes(num: int, den: int, lone: bool = False):
+    """The first segments of each text and one more (marked), by rarity; with lone=True also signs that no other text has."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         codes = np.zeros(0, np.uint8)
@@ -164,22 +171,27 @@ def _prefixes(num: int, den: int):
             idx, doc = idx[order], doc[order]
             place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
             first = n - -(-n * num // den) + 1
-            on = (place < first[doc]) & (codes[idx] > 1)
+            on = (place <= first[doc]) & ((codes[idx] > 1) | lone)
             ids = np.frombuffer(r["ids"], np.int64)
-            out.append(pa.table({"sign": uniq[idx[on]].astype(np.int64), "file_id": ids[doc[on]], "n": n[doc[on]].astype(np.int32), "pos": place[on].astype(np.int32)}))
-        return pa.concat_tables(out) if out else pa.table({"sign": pa.array([], pa.int64()), "file_id": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "pos": pa.array([], pa.int32())})
+            out.append(pa.table({"sign": uniq[idx[on]].astype(np.int64), "file_id": ids[doc[on]], "n": n[doc[on]].astype(np.int32), "pos": place[on].astype(np.int32), "extra": (place == first[doc])[on]}))
+        types = (("sign", pa.int64()), ("file_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("extra", pa.bool_()))
+        return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in types})
 
     return run
 
 
+def _range_bits(segments: DataFrame) -> int:
+    """So many ranges, as a power of two, that each has about RANGE_SIGNS signs."""
+    total = segments.agg(F.sum(F.length("idx"))).first()[0] or 0
+    return min(20, max(6, int(np.ceil(np.log2(max(1, total / 3) / RANGE_SIGNS + 1)))))
+
+
 def postings(segments: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(sign, file_id, n, pos): of each text the signs in its first segments that stand in another text too."""
-    total = segments.select((F.length("sizes") / 4).alias("docs"), F.length("idx").alias("b")).agg(F.sum("b")).first()[0] or 0
-    bits = min(20, max(6, int(np.ceil(np.log2(max(1, total / 3) / RANGE_SIGNS + 1)))))
-    sent = segments.select("seg", "uniq", "idx").mapInArrow(_spread(bits), "bereik int, seg long, signs binary, counts binary")
+    """(sign, file_id, n, pos, extra): of each text the signs in its first segments that stand in another text too, and the one after them."""
+    sent = segments.select("seg", "uniq", "idx").mapInArrow(_spread(_range_bits(segments)), "bereik int, seg long, signs binary, counts binary")
     codes = sent.groupBy("bereik").applyInArrow(_tally, "seg long, bereik int, codes binary")
     both = segments.select("seg", "ids", "sizes", "uniq", "idx").groupBy("seg").cogroup(codes.groupBy("seg"))
-    return both.applyInArrow(_prefixes(*similar), "sign long, file_id long, n int, pos int")
+    return both.applyInArrow(_prefixes(*similar), _POSTING)
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,23 +207,54 @@ def _distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(_SIG_WORDS)), F.lit(0))
 
 
-def similar_pairs(docs: DataFrame, posts: DataFrame, mem: DataFrame, similar: tuple[int, int] = SIMILAR, new: DataFrame | None = None) -> DataFrame:
-    """(a, b): classes a < b whose texts agree. With `new` (file_id), only pairs in which at least one is new.
+def _fits(num: int, den: int, once: bool, place: bool = True) -> Column:
+    """Whether two postings x and y can belong to agreeing texts, by their lengths and the places of the shared sign; once: each pair from one side only."""
+    apart = F.col("x.file_id") < F.col("y.file_id") if once else F.col("x.file_id") != F.col("y.file_id")
+    fits = apart & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+    if place:
+        need = F.ceil((F.col("x.n") + F.col("y.n")) * num / F.lit(float(num + den)) - 1e-9)
+        fits = fits & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)
+    return fits
+
 
-    Pairs are formed between class representatives that share a sign of their first segments. A frequent sign
-    is the last of a text's order and seldom among the first; where one is, the join on it is split by AQE.
+def candidates(p: DataFrame, similar: tuple[int, int], hot: int = HOT, new: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: texts that share a sign of their first segments and pass the filters.
+
+    p: postings of class representatives, staged. A sign with more than `hot` postings forms no pairs by
+    itself: two agreeing texts that share one among their first signs share a second one among those and the
+    sign after them, so such texts are joined on both. Nothing is left out. With `new` (file_id), one of the
+    two is new.
+    """
+    num, den = similar
+    first = p.where("not extra")
+    counts = first.groupBy("sign").agg(F.count("*").alias("m")).where(F.col("m") > hot)
+    frequent = stage(counts.select("sign"), "p2-hot")
+    some_hot = not frequent.isEmpty()
+    plain = first.join(small(frequent), "sign", "left_anti") if some_hot else first
+    fresh = small(stage(new.select("file_id").distinct(), "p2-new")) if new is not None else None
+    own = lambda d: d if fresh is None else d.join(fresh, "file_id", "left_semi")
+    ordered = [F.least("x.file_id", "y.file_id").alias("a"), F.greatest("x.file_id", "y.file_id").alias("b")]
+    pairs = plain.alias("x").join(own(plain).alias("y"), (F.col("x.sign") == F.col("y.sign")) & _fits(num, den, new is None)).select(*ordered)
+    if some_hot:
+        marked = p.join(small(frequent.withColumn("heet", F.lit(True))), "sign", "left")
+        sets = marked.groupBy("file_id").agg(F.max("n").alias("n"), F.collect_list(F.when(F.col("heet") & ~F.col("extra"), F.col("sign"))).alias("h"), F.collect_list("sign").alias("all")).where(F.size("h") > 0)
+        both = F.flatten(F.transform("h", lambda x: F.transform(F.filter("all", lambda y: y != x), lambda y: F.named_struct(F.lit("u"), F.least(x, y), F.lit("v"), F.greatest(x, y)))))
+        two = stage(sets.select("file_id", "n", F.explode(F.array_distinct(both)).alias("k")).select("file_id", "n", "k.u", "k.v"), "p2-two")
+        on = (F.col("x.u") == F.col("y.u")) & (F.col("x.v") == F.col("y.v")) & _fits(num, den, new is None, False)
+        pairs = pairs.union(two.alias("x").join(own(two).alias("y"), on).select(*ordered))
+    return pairs.distinct()
+
+
+def similar_pairs(docs: DataFrame, posts: DataFrame, mem: DataFrame, similar: tuple[int, int] = SIMILAR, new: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """(a, b): classes a < b whose texts agree. With `new` (file_id), only pairs of which one is new.
+
+    Pairs are formed between class representatives that share a sign of their first segments, filtered by the
+    distance of their bitmaps, and verified on the texts.
     """
     num, den = similar
     reps = mem.where("file_id = klasse")
     p = stage(posts.join(small(reps.select("file_id")), "file_id", "left_semi"), "p2-postings")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * num / F.lit(float(num + den)) - 1e-9)
-    fits = (F.col("x.file_id") < F.col("y.file_id")) & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-    fits = fits & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)
-    pairs = p.alias("x").join(p.alias("y"), (F.col("x.sign") == F.col("y.sign")) & fits).select(F.col("x.file_id").alias("a"), F.col("y.file_id").alias("b"))
-    pairs = stage(pairs.distinct(), "p2-pairs")
-    if new is not None:
-        fresh = new.select("file_id").distinct()
-        pairs = pairs.join(fresh.withColumnRenamed("file_id", "b"), "b", "left_semi").unionByName(pairs.join(fresh.withColumnRenamed("file_id", "a"), "a", "left_semi")).distinct()
+    pairs = stage(candidates(p, similar, hot, new), "p2-pairs")
     s = reps.select("file_id", "n", "sig")
     pairs = pairs.join(s.select(F.col("file_id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(s.select(F.col("file_id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     # agreeing texts differ in at most (1 - t) / (1 + t) * (n + m) signs, and the bitmaps in no more
@@ -280,3 +323,87 @@ def repeats(files: DataFrame, docs: DataFrame, similar: tuple[int, int] = SIMILA
     mem = members(segments)
     pairs = stage(similar_pairs(docs, postings(segments, similar), mem, similar), "p2-similar")
     return decide(*_groups(files, mem, pairs))
+
+
+def _rarities(table: pa.Table) -> pa.Table:
+    """The signs of a range that stand in more than one text, with their codes."""
+    signs = [_unpack(x) for x in table.column("signs").to_pylist()]
+    counts = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint32) for x in table.column("counts").to_pylist()])
+    uniq, inverse = np.unique(np.concatenate(signs), return_inverse=True)
+    n = np.bincount(inverse, weights=counts)
+    on = n > 1
+    return pa.table({"bereik": table.column("bereik").slice(0, 1), "bekend": pa.array([_pack(uniq[on])], pa.binary()), "codes": pa.array([zstandard.compress(rarity_code(n[on]).tobytes(), 1)], pa.binary())})
+
+
+def _looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The code of each sign that a block sent, as the index has it; 0 for a sign it doesn't know."""
+    known = _unpack(right.column("bekend")[0].as_py()) if right.num_rows else np.zeros(0, np.uint64)
+    code = np.frombuffer(zstandard.decompress(right.column("codes")[0].as_py()), np.uint8) if len(known) else np.zeros(0, np.uint8)
+    blobs = []
+    for raw in left.column("signs").to_pylist():
+        s = _unpack(raw)
+        got = np.zeros(len(s), np.uint8)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            got = np.where(known[at] == s, code[at], 0).astype(np.uint8)
+        blobs.append(zstandard.compress(got.tobytes(), 1))
+    return pa.table({"seg": left.column("seg"), "bereik": left.column("bereik"), "codes": pa.array(blobs, pa.binary())})
+
+
+class SegmentIndex:
+    """What was accepted so far, under a folder: rows (file_id, sha256, url), members (classes and bitmaps of
+    texts), postings, and the order of rarity, which is settled by the first batch and then stays, so that old
+    postings keep their places. `append` checks a batch against it and adds what is new; of the history it
+    reads these tables, and of texts only those of the pairs to verify.
+    """
+
+    def __init__(self, spark, root: str, similar: tuple[int, int] = SIMILAR) -> None:
+        self.spark, self.root, self.similar = spark, root.rstrip("/"), similar
+
+    def _path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def _parts(self, name: str) -> int:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self._path(name))
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return len(fs.listStatus(p)) if fs.exists(p) else 0
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        if not self._parts(name):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self._path(name))
+
+    def append(self, files: DataFrame, docs: DataFrame, history_docs: DataFrame) -> DataFrame:
+        """(file_id_1, file_id_2): the rows of the batch `files` that repeat, with the earliest accepted row each repeats.
+
+        docs: (file_id, text) of the batch; history_docs: of all texts, read by id for what has to be verified.
+        The batch is added in one folder per table, named by its number, once its decisions are written.
+        """
+        k = self._parts("rows")
+        rows = self._read("rows", "file_id long, sha256 string, url string")
+        old = self._read("members", "file_id long, class1 long, class2 long, n int, sig array<long>")
+        old_posts = self._read("postings", _POSTING)
+        files = stage(files.select(F.col("file_id").cast("bigint").alias("file_id"), "sha256", "url"), "p2-batch")
+        segments = blocks(docs.join(small(files.select("file_id")), "file_id", "left_semi"))
+        bits = 8
+        sent = segments.select("seg", "uniq", "idx").mapInArrow(_spread(bits), "bereik int, seg long, signs binary, counts binary")
+        order = "bereik int, bekend binary, codes binary"
+        if not self._parts("rarity"):
+            sent.groupBy("bereik").applyInArrow(_rarities, order).write.parquet(self._path("rarity/batch-0"))
+        codes = sent.groupBy("bereik").cogroup(self._read("rarity", order).groupBy("bereik")).applyInArrow(_looked_up, "seg long, bereik int, codes binary")
+        both = segments.select("seg", "ids", "sizes", "uniq", "idx").groupBy("seg").cogroup(codes.groupBy("seg"))
+        posts = stage(both.applyInArrow(_prefixes(*self.similar, True), _POSTING), "p2-new-postings")
+        own = stage(segments.select("ids", "sizes", "class1", "class2", "sigs").mapInArrow(_members, "file_id long, class1 long, class2 long, n int, sig array<long>"), "p2-new-members")
+        every = old.unionByName(own)
+        first = every.groupBy("class1", "class2", "n").agg(F.min("file_id").alias("klasse"))
+        mem = stage(every.join(first, ["class1", "class2", "n"]).select("file_id", "klasse", "n", "sig"), "p2-classes")
+        pairs = stage(similar_pairs(history_docs, old_posts.unionByName(posts), mem, self.similar, own.select("file_id")), "p2-similar")
+        gives, takes = _groups(rows.unionByName(files), mem, pairs)
+        new = small(files.select("file_id"))
+        settled = gives.join(new, "file_id", "left_anti").groupBy("soort", "groep").agg(F.min("file_id").alias("eerst"))
+        out = stage(decide(gives.join(new, "file_id", "left_semi"), takes.join(new, "file_id", "left_semi"), stage(settled, "p2-settled")), "p2-repeats")
+        gone = small(out.select(F.col("file_id_2").alias("file_id")))
+        for name, df in (("members", own), ("postings", posts), ("rows", files)):  # rows last: their folder counts the batch
+            df.join(gone, "file_id", "left_anti").write.mode("overwrite").parquet(self._path(f"{name}/batch-{k}"))
+        return out

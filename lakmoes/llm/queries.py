@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakmoes.llm import areas, dedup, encoding, leaks, lines, packing, pii
 
-from lakmoes.plans.stage import stage
+from lakmoes.plans.stage import stage, stage_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,6 +41,15 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.repeats(table(spark, sf, "files"), table(spark, sf, "documents").select("file_id", "text"))
 
 
+def p2_last_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest batch against an index of all before it."""
+    files, docs = table(spark, sf, "files"), table(spark, sf, "documents").select("file_id", "text")
+    last = files.agg(F.max("batch_nr")).first()[0]
+    index = dedup.SegmentIndex(spark, stage_path(spark, "p2-index"))
+    index.append(files.where(F.col("batch_nr") < last), docs, docs)
+    return index.append(files.where(F.col("batch_nr") == last), docs, docs)
+
+
 _P3 = (("documents", "doc_id", "text"), ("bron_document", "rij_id", "text"), ("files", "file_id", "titel"))
 
 
@@ -81,7 +90,7 @@ def p4_masked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.oversized(packing.sizes(table(spark, sf, "documents"), table(spark, sf, "bakken")))
+    return packing.was_split(p6_pack(spark, sf))
 
 
 def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +151,7 @@ d AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT doc_id, w
 i AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p2_last_batch": p2_last_batch, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules}
 
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT k.tabel, k.id, CAST(regel_nr AS INTEGER) AS regel_nr FROM k JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k",
