@@ -131,7 +131,7 @@ def _spread(bits: int):
     return run
 
 
-_POSTING = "sign long, file_id long, n int, pos int, extra boolean"
+_POSTING = "sign long, file_id long, n int, pos int, extra boolean, bekend boolean"
 
 
 def rarity_code(count: np.ndarray) -> np.ndarray:
@@ -173,8 +173,8 @@ def _prefixes(num: int, den: int, lone: bool = False):
             first = n - -(-n * num // den) + 1
             on = (place <= first[doc]) & ((codes[idx] > 1) | lone)
             ids = np.frombuffer(r["ids"], np.int64)
-            out.append(pa.table({"sign": uniq[idx[on]].astype(np.int64), "file_id": ids[doc[on]], "n": n[doc[on]].astype(np.int32), "pos": place[on].astype(np.int32), "extra": (place == first[doc])[on]}))
-        types = (("sign", pa.int64()), ("file_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("extra", pa.bool_()))
+            out.append(pa.table({"sign": uniq[idx[on]].astype(np.int64), "file_id": ids[doc[on]], "n": n[doc[on]].astype(np.int32), "pos": place[on].astype(np.int32), "extra": (place == first[doc])[on], "bekend": codes[idx[on]] > 1}))
+        types = (("sign", pa.int64()), ("file_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("extra", pa.bool_()), ("bekend", pa.bool_()))
         return pa.concat_tables(out) if out else pa.table({k: pa.array([], t) for k, t in types})
 
     return run
@@ -187,7 +187,7 @@ def _range_bits(segments: DataFrame) -> int:
 
 
 def postings(segments: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(sign, file_id, n, pos, extra): of each text the signs in its first segments that stand in another text too, and the one after them."""
+    """(sign, file_id, n, pos, extra): of each text the signs in its first segments that stand in another text too, and the one after them; bekend: the order of rarity knows the sign."""
     sent = segments.select("seg", "uniq", "idx").mapInArrow(_spread(_range_bits(segments)), "bereik int, seg long, signs binary, counts binary")
     codes = sent.groupBy("bereik").applyInArrow(_tally, "seg long, bereik int, codes binary")
     both = segments.select("seg", "ids", "sizes", "uniq", "idx").groupBy("seg").cogroup(codes.groupBy("seg"))
@@ -233,6 +233,8 @@ def candidates(p: DataFrame, similar: tuple[int, int], hot: int = HOT, new: Data
     plain = first.join(small(frequent), "sign", "left_anti") if some_hot else first
     fresh = small(stage(new.select("file_id").distinct(), "p2-new")) if new is not None else None
     own = lambda d: d if fresh is None else d.join(fresh, "file_id", "left_semi")
+    if fresh is not None:  # only the stored postings that the new signs probe take part
+        plain = plain.join(small(stage(own(plain).select("sign").distinct(), "p2-probe")), "sign", "left_semi")
     ordered = [F.least("x.file_id", "y.file_id").alias("a"), F.greatest("x.file_id", "y.file_id").alias("b")]
     pairs = plain.alias("x").join(own(plain).alias("y"), (F.col("x.sign") == F.col("y.sign")) & _fits(num, den, new is None)).select(*ordered)
     if some_hot:
@@ -398,7 +400,9 @@ class SegmentIndex:
         every = old.unionByName(own)
         first = every.groupBy("class1", "class2", "n").agg(F.min("file_id").alias("klasse"))
         mem = stage(every.join(first, ["class1", "class2", "n"]).select("file_id", "klasse", "n", "sig"), "p2-classes")
-        pairs = stage(similar_pairs(history_docs, old_posts.unionByName(posts), mem, self.similar, own.select("file_id")), "p2-similar")
+        # in the first batch a sign that the order doesn't know stands in one text only
+        every_post, new_texts = (old_posts.unionByName(posts), own.select("file_id")) if k else (posts.where("bekend"), None)
+        pairs = stage(similar_pairs(history_docs, every_post, mem, self.similar, new_texts), "p2-similar")
         gives, takes = _groups(rows.unionByName(files), mem, pairs)
         new = small(files.select("file_id"))
         settled = gives.join(new, "file_id", "left_anti").groupBy("soort", "groep").agg(F.min("file_id").alias("eerst"))
