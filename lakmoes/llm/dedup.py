@@ -220,21 +220,21 @@ def _fits(num: int, den: int, once: bool, place: bool = True) -> Column:
 def candidates(p: DataFrame, similar: tuple[int, int], hot: int = HOT, new: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: texts that share a sign of their first segments and pass the filters.
 
-    p: postings of class representatives, staged. A sign with more than `hot` postings forms no pairs by
+    p: postings of class representatives. A sign with more than `hot` postings forms no pairs by
     itself: two agreeing texts that share one among their first signs share a second one among those and the
     sign after them, so such texts are joined on both. Nothing is left out. With `new` (file_id), one of the
     two is new.
     """
     num, den = similar
+    fresh = small(stage(new.select("file_id").distinct(), "p2-new")) if new is not None else None
+    own = lambda d: d if fresh is None else d.join(fresh, "file_id", "left_semi")
     first = p.where("not extra")
+    if fresh is not None:  # only the stored postings that the new signs probe take part
+        first = stage(first.join(small(stage(own(first).select("sign").distinct(), "p2-probe")), "sign", "left_semi"), "p2-probed")
     counts = first.groupBy("sign").agg(F.count("*").alias("m")).where(F.col("m") > hot)
     frequent = stage(counts.select("sign"), "p2-hot")
     some_hot = not frequent.isEmpty()
     plain = first.join(small(frequent), "sign", "left_anti") if some_hot else first
-    fresh = small(stage(new.select("file_id").distinct(), "p2-new")) if new is not None else None
-    own = lambda d: d if fresh is None else d.join(fresh, "file_id", "left_semi")
-    if fresh is not None:  # only the stored postings that the new signs probe take part
-        plain = plain.join(small(stage(own(plain).select("sign").distinct(), "p2-probe")), "sign", "left_semi")
     ordered = [F.least("x.file_id", "y.file_id").alias("a"), F.greatest("x.file_id", "y.file_id").alias("b")]
     pairs = plain.alias("x").join(own(plain).alias("y"), (F.col("x.sign") == F.col("y.sign")) & _fits(num, den, new is None)).select(*ordered)
     if some_hot:
@@ -255,7 +255,9 @@ def similar_pairs(docs: DataFrame, posts: DataFrame, mem: DataFrame, similar: tu
     """
     num, den = similar
     reps = mem.where("file_id = klasse")
-    p = stage(posts.join(small(reps.select("file_id")), "file_id", "left_semi"), "p2-postings")
+    p = posts.join(small(reps.select("file_id")), "file_id", "left_semi")
+    if new is None:
+        p = stage(p, "p2-postings")
     pairs = stage(candidates(p, similar, hot, new), "p2-pairs")
     s = reps.select("file_id", "n", "sig")
     pairs = pairs.join(s.select(F.col("file_id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(s.select(F.col("file_id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
