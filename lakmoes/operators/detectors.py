@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lakmoes.functions import scalars as S
 from lakmoes.functions.matching import around, find_all, record
+from lakmoes.plans.stage import spread
 
 RANK = {"Kritiek": 0, "Hoog": 1, "Middel": 2, "Laag": 3}
 
@@ -173,7 +174,8 @@ def scan(chunks: DataFrame, keep: Sequence[str], enabled: dict[str, bool] | None
         return F.transform(hits, lambda h: record(k=F.lit(k), start=h["start"], end=h["end"], value=h["value"], before=h["before"], after=h["after"])).cast(hit)
 
     arrays = [found(k, d) for k, d in enumerate(used)]
-    rows = c.select(*keep, F.explode(F.concat(*arrays)).alias("h")).select(*keep, "h.*")
+    # outer: for an inner explode the planner would add a filter that computes all hits a second time
+    rows = c.select(*keep, F.explode_outer(F.concat(*arrays)).alias("h")).where(F.col("h.k").isNotNull()).select(*keep, "h.*")
 
     def choose(f: Callable[[Detector], Column]) -> Column:
         out = None
@@ -214,7 +216,7 @@ def chunked(docs: DataFrame, keys: Sequence[str], text: str = "text", chunks: st
         flat = S.flat_metadata(F.col(meta))
         tail = F.when(flat.isNotNull(), F.array(F.struct(F.lit(2147483647).alias("idx"), F.lit("metadata").alias("loc"), flat.alias("text")))).otherwise(tail).cast(kind)
     subject = F.when(F.size("_body") > 0, valid_postcodes(F.element_at("_body", 1)["text"])).otherwise(F.array().cast("array<string>"))
-    d = docs.select(*keys, body.alias("_body"), tail.alias("_tail"))
+    d = spread(docs, keys[0]).select(*keys, body.alias("_body"), tail.alias("_tail"))
     return d.select(*keys, subject.alias("onderwerp"), F.explode(F.concat("_body", "_tail")).alias("c")).select(*keys, F.col("c.idx").alias("chunk_idx"), F.coalesce("c.loc", F.lit("")).alias("locatie"), F.col("c.text").alias("text"), "onderwerp")
 
 

@@ -10,7 +10,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its written size, as counted, is below this many bytes in memory.
@@ -76,9 +76,13 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes(df) <= limit else df
 
 
-def null_safe(keys: list[str], left: DataFrame, right: DataFrame) -> Column:
-    """Equality of the keys where null equals null."""
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(right[k])
-    return on
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores by key, if it comes in fewer than half as many parts; else as it is.
+
+    For scans before work on whole texts: a small file is one part, however much text it holds. df must be a
+    scan with at most filters and projections.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or 2 * df.rdd.getNumPartitions() > cores:
+        return df
+    return df.repartition(cores, key)
