@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lakmoes.functions.urls import normal_digest, normal_url
 from lakmoes.llm import scan
-from lakmoes.plans.stage import small, stage
+from lakmoes.plans.stage import small, spread, stage
 
 WORDS = 5
 SIMILAR = (7, 10)
@@ -89,10 +89,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), *[pa.array([x], pa.binary()) for x in row]], names=[c.split()[0] for c in _SEGMENT.split(", ")])
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """The texts of docs (file_id, text) as blocks of packed signs, staged. Null ids and texts are left out."""
+def blocks(docs: DataFrame, scanned: bool = True) -> DataFrame:
+    """The texts of docs (file_id, text) as blocks of packed signs, staged. Null ids and texts are left out. scanned: docs is a plain scan, which may be spread."""
     d = docs.where(F.col("file_id").isNotNull() & F.col("text").isNotNull()).select(F.col("file_id").cast("bigint").alias("file_id"), "text")
-    return stage(d.mapInArrow(_blocks, _SEGMENT), "p2-blocks")
+    return stage((spread(d, "file_id") if scanned else d).mapInArrow(_blocks, _SEGMENT), "p2-blocks")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +389,7 @@ class SegmentIndex:
         old = self._read("members", "file_id long, class1 long, class2 long, n int, sig array<long>")
         old_posts = self._read("postings", _POSTING)
         files = stage(files.select(F.col("file_id").cast("bigint").alias("file_id"), "sha256", "url"), "p2-batch")
-        segments = blocks(docs.join(small(files.select("file_id")), "file_id", "left_semi"))
+        segments = blocks(docs.join(small(files.select("file_id")), "file_id", "left_semi"), scanned=False)
         bits = 8
         sent = segments.select("seg", "uniq", "idx").mapInArrow(_spread(bits), "bereik int, seg long, signs binary, counts binary")
         order = "bereik int, bekend binary, codes binary"

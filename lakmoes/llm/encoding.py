@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakmoes.llm import scan
-from lakmoes.plans.stage import small, stage
+from lakmoes.plans.stage import small, spread, stage
 
 # Encodings that texts are commonly written in and wrongly read in.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-15")
@@ -148,7 +148,7 @@ def _words(tabel: str):
 def words_of(df: DataFrame, tabel: str, id_col: str, text_col: str) -> DataFrame:
     """(tabel, id, start, woord) of the words with characters beyond ASCII; null texts have none."""
     d = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(_words(tabel), "tabel string, id long, start int, woord string")
+    return spread(d, "id").mapInArrow(_words(tabel), "tabel string, id long, start int, woord string")
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

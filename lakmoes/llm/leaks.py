@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakmoes.llm import scan
-from lakmoes.plans.stage import stage_path
+from lakmoes.plans.stage import spread, stage_path
 
 WORDS = 12
 #: Items are searched in groups of so many; each group goes to the tasks as one array of bounded size.
@@ -54,7 +54,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     path = stage_path(spark, "p7-index")
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), text_col)
-    d.mapInArrow(_segments(id_col, text_col), _SEGMENT).write.option("compression", "zstd").parquet(path)
+    spread(d, id_col).mapInArrow(_segments(id_col, text_col), _SEGMENT).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(_SEGMENT).parquet(path)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakmoes.plans.stage import small, stage
+from lakmoes.plans.stage import small, spread, stage
 
 MIN_LETTERS, MIN_ROWS, MIN_SHARE = 15, 3, 0.15
 
@@ -28,7 +28,7 @@ def line_sequences(docs: DataFrame, tabel: str, id_col: str, source_col: str, te
     lines = F.split(F.col(text_col), "\n", -1)
     keys = F.transform(lines, lambda x, i: F.struct(i.cast("int").alias("nr"), line_key(x).alias("k")))
     seq = F.transform(F.filter(keys, lambda s: F.length(s.k) >= min_letters), lambda s: F.struct(s.nr.alias("nr"), F.xxhash64(s.k).alias("h")))
-    return docs.where(F.col(text_col).isNotNull()).select(
+    return spread(docs.where(F.col(text_col).isNotNull()), id_col).select(
         F.lit(tabel).alias("tabel"), F.col(source_col).alias("source"), F.col(id_col).cast("bigint").alias("id"), seq.alias("seq")
     )
 

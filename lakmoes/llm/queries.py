@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakmoes.llm import areas, dedup, encoding, leaks, lines, packing, pii
 
-from lakmoes.plans.stage import stage, stage_path
+from lakmoes.plans.stage import spread, stage, stage_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -75,9 +75,9 @@ def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
         bron.select("rij_id", F.explode("chunks").alias("c")).select(F.lit("bron_document").alias("tabel"), F.col("rij_id").alias("id"), F.col("c.idx").alias("chunk_idx"), F.col("c.text").alias("text")),
         table(spark, sf, "findings").select(F.lit("findings").alias("tabel"), F.col("finding_id").alias("id"), F.lit(-1).alias("chunk_idx"), F.col("context").alias("text")),
     ]
-    out = parts[0]
+    out = spread(parts[0], "id")
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(spread(p, "id"))
     return out
 
 
