@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakmoes.config import Config
 from lakmoes.operators import detectors, manifest
+from lakmoes.plans.ship import ship
 from lakmoes.sources import registry, sinks
 
 
@@ -21,6 +22,7 @@ def main(argv: list[str] | None = None) -> int:
     conf = Config.load(a.config)
     os.makedirs(conf.output_dir, exist_ok=True)
     spark = SparkSession.builder.appName("lakmoes").getOrCreate()
+    ship(spark)
     table, known = f"{conf.output_dir}/findings", f"{conf.output_dir}/gedaan"
     n = 0
     if not a.report_only:
