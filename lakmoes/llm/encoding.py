@@ -103,10 +103,14 @@ _RUN = re.compile("[^\x00-\x7f]+")
 #: What single-byte encodings show for each other's no-break space; as often as this between letters it is one.
 _SPACES = sorted({x for a in SINGLE_BYTE for e in SINGLE_BYTE if e != a and (b := _written("\xa0", a)) and (x := _read(b, e)) and not x.isascii() and x != "\xa0"})
 _SPACE_TIMES = 3
+#: The rest of a no-break space read wrongly, after its second half became a plain space.
+_HALF_SPACE = re.compile("^([A-Za-z]*)(?:\u00c2|\u00c3\u201a|\u00c3\u0082)$")
 
 
 def _spaced(word: str) -> str | None:
-    """The word with its no-break spaces back, if one sign stands for them."""
+    """The word with its no-break spaces back, if one sign stands for them; without the half of one that stands before a plain space."""
+    if m := _HALF_SPACE.match(word):
+        return m[1]
     for c in _SPACES:
         if len(re.findall(f"(?<=[A-Za-z]){c}(?=[A-Za-z])", word)) >= _SPACE_TIMES:
             return word.replace(c, "\xa0")
@@ -168,7 +172,7 @@ def _guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fixed = _RUN.sub(lambda m: (decoded_back(m[0]) or m[0]) if len(m[0]) > 1 else m[0], w)
             if LOST in w or re.search("[\x80-\x9f]", fixed):
                 rows.append((w, None))
-            elif fixed != w or (fixed := _spaced(w)):
+            elif fixed != w or (fixed := _spaced(w)) is not None:
                 rows.append((w, fixed))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["woord", "origineel"])
 

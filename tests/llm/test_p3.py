@@ -28,6 +28,11 @@ def test_double_and_lost(spark):
     assert got == {6, 7, 8} and fixed[6]["hersteld"] == "één" and fixed[7]["n_verloren"] == 1 and fixed[7]["hersteld"] == "v��r de prijs" and fixed[8]["hersteld"] == "onbekend wörd"
 
 
+def test_half_of_a_space(spark):
+    got, fixed = run(spark, [*CLEAN, "Wij gebruikenÂ cookies vanÂ Plaats", "Druk†deze†pagina†af"])
+    assert got == {2, 3} and fixed[2]["hersteld"] == "Wij gebruiken cookies van Plaats" and fixed[3]["hersteld"] == "Druk\xa0deze\xa0pagina\xa0af"
+
+
 def test_clean_foreign_text_is_no_case(spark):
     assert run(spark, CLEAN * 2 + ["naïef"])[0] == set()
     assert run(spark, [])[0] == set()
