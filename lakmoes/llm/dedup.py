@@ -321,8 +321,23 @@ def decide(gives: DataFrame, takes: DataFrame, accepted: DataFrame | None = None
     return takes.join(least, ["soort", "groep"]).where("eerst < file_id").groupBy("file_id").agg(F.min("eerst").alias("file_id_1")).select("file_id_1", F.col("file_id").alias("file_id_2"))
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """docs (file_id, text) with one text per file: of several the longest, then the last by order. Only ids are read to see whether there are several."""
+    d = docs.select(F.col("file_id").cast("bigint").alias("file_id"), "text")
+    if d.groupBy("file_id").agg(F.count("*").alias("n")).where("n > 1 and file_id is not null").limit(1).isEmpty():
+        return d
+    one = d.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max_by("text", F.struct(F.length("text"), F.col("text"))).alias("text"))
+    return stage(one, "p2-one-text")
+
+
 def repeats(files: DataFrame, docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(file_id_1, file_id_2) over all rows of files (file_id, url, sha256), with the texts of docs (file_id, text)."""
+    """(file_id_1, file_id_2) over all rows of files (file_id, url, sha256), with the texts of docs (file_id, text).
+
+    Rows delivered twice under one file_id count once, null urls match nothing, a text of fewer than five words
+    agrees with none, of several texts of a file the longest counts.
+    """
+    files = files.select("file_id", "url", "sha256").where(F.col("file_id").isNotNull())
+    docs = one_text(docs)
     segments = blocks(docs)
     mem = members(segments)
     pairs = stage(similar_pairs(docs, postings(segments, similar), mem, similar), "p2-similar")

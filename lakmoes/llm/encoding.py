@@ -233,4 +233,4 @@ def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def restore(texts: DataFrame, garbled: DataFrame) -> DataFrame:
     """(tabel, id, hersteld, n_hersteld, n_verloren) of the affected rows: texts (tabel, id, text) with each garbled word replaced where its original is known."""
     fixes = garbled.groupBy("tabel", "id").agg(F.collect_list(F.struct("start", "woord", "origineel")).alias("fixes"))
-    return texts.join(fixes, ["tabel", "id"]).select("tabel", "id", "text", "fixes").mapInArrow(_restored, "tabel string, id long, hersteld string, n_hersteld int, n_verloren int")
+    return texts.select("tabel", "id", "text").join(fixes, ["tabel", "id"]).select("tabel", "id", "text", "fixes").mapInArrow(_restored, "tabel string, id long, hersteld string, n_hersteld int, n_verloren int")

@@ -100,7 +100,7 @@ def repeated_lines(seqs: DataFrame, min_rows: int = MIN_ROWS, min_share: float =
 def remove_lines(docs: DataFrame, found: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """docs with `schoon`, the text without its repeated lines and otherwise as it was, and `n_weg`, how many went. A null text stays null."""
     gone = found.groupBy(F.col("id").alias("_id")).agg(F.collect_set("regel_nr").alias("_gone"))
-    d = docs.join(gone, F.col(id_col) == F.col("_id"), "left")
+    d = docs.drop("_id", "_gone").join(gone, F.col(id_col) == F.col("_id"), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("_gone", i.cast("int")), F.lit(False)))
     return d.withColumn("schoon", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).withColumn("n_weg", F.coalesce(F.size("_gone"), F.lit(0))).drop("_id", "_gone")

@@ -79,6 +79,10 @@ def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(60_000))
     docs = [(1, ""), (2, None), (3, "vier woorden zijn weinig"), (6, "vier woorden zijn weinig"), (5, long), (7, long), (None, "x y z u v"), (99, "x y z u v w")]
     assert sorted(tuple(r) for r in dedup.repeats(*tables(spark, files, docs)).collect()) == [(3, 4), (3, 6), (5, 7)]
+    # a file with two texts is known by its longer one, and a row delivered twice counts once
+    two = [(1, None, None), (2, None, None), (3, None, None), (3, None, None)]
+    texts = [(1, "a b c d e f g h"), (1, "k l m n o p q r s"), (2, "k l m n o p q r s"), (3, "a b c d e f g h")]
+    assert {tuple(r) for r in dedup.repeats(*tables(spark, two, texts)).collect()} == {(1, 2)}
     # one group of copies holds most rows
     many = [(i, f"https://x.nl/{i}", "b" * 64 if i % 3 else None) for i in range(1, 400)]
     got = {tuple(r) for r in dedup.repeats(*tables(spark, many, [(i, "een twee drie vier vijf zes") for i in range(1, 400)])).collect()}
