@@ -25,7 +25,8 @@ def first_by_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def with_manifest(findings: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Findings left-joined to herkomst and titel of their address; null where the manifest has no such row. manifest has one row per url."""
+    """Findings left-joined to herkomst and titel of their address; null where the manifest has no such row. manifest has one row per url; its columns replace those of the findings."""
+    findings = findings.drop("herkomst", "titel", "_url")
     m = manifest.select(F.col("url").alias("_url"), "herkomst", "titel")
     return findings.join(m, F.col("url") == F.col("_url"), "left").drop("_url")
 
