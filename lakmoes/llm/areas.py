@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 from lakmoes.llm import scan
 from lakmoes.plans.stage import small, spread, stage
 
-#: Rules are fitted on at most so many labelled documents, and then on so many of all; which ones is settled by the hash of their id.
+#: Rules are first fitted on at most so many labelled documents; which ones is settled by the hash of their id.
 MAX_LABELLED = 200_000
-MAX_MORE = 20_000
 ROUNDS = 2
 MIN_SENTENCES = 4
 MIN_CONFIDENCE, MIN_LIFT = 0.6, 2.0
@@ -61,8 +60,8 @@ def clean_labels(labels: DataFrame, areas: DataFrame) -> DataFrame:
     return own.join(small(known), "k").select("doc_id", F.col("name").alias("area")).distinct()
 
 
-def _labelled(batches: Iterator[pa.RecordBatch], rules) -> Iterator[tuple]:
-    """Of each block the distinct words of its sentences, with the area of each: (hash, sentence, area number, start, end, text).
+def _labelled(batches: Iterator[pa.RecordBatch], rules, only: np.ndarray | None = None) -> Iterator[tuple]:
+    """Of each block the distinct words of its sentences, with the area of each: (hash, sentence, area number, start, end, text). only: the words that are asked for; others may be left out.
 
     Without rules the area is that of the document (column area); with them, the one that clearly leads in the document by them; other documents are left out.
     """
@@ -70,6 +69,9 @@ def _labelled(batches: Iterator[pa.RecordBatch], rules) -> Iterator[tuple]:
         own = None if rules is not None else batch.column("area").to_pylist()
         for lo, texts in scan.blocks(batch.column("text").to_pylist()):
             h, sent, owner, start, end = sentences(texts)
+            if only is not None:
+                on = np.isin(h, only if rules is None else np.union1d(only, rules.words))
+                h, sent, owner, start, end = h[on], sent[on], owner[on], start[on], end[on]
             if not len(h):
                 continue
             first = np.lexsort((h, sent))
@@ -79,7 +81,8 @@ def _labelled(batches: Iterator[pa.RecordBatch], rules) -> Iterator[tuple]:
             if rules is None:
                 area = np.asarray(own[lo : lo + len(texts)], object)[owner]
             else:
-                _, doc, best, ev = score(texts, rules)
+                on = np.isin(h, rules.words)
+                _, doc, best, ev = _scored(h[on], sent[on], owner[on], rules)
                 sure = ev >= rules.least
                 n = np.zeros((len(texts), len(rules.areas)))
                 np.add.at(n, (doc[sure], best[sure]), 1)
@@ -111,7 +114,7 @@ def _items(keep, rules):
     """(items): the words of a sentence that are kept, and its area."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, sent, area, start, end, texts in _labelled(batches, rules and rules.value):
+        for h, sent, area, start, end, texts in _labelled(batches, rules and rules.value, keep.value):
             on = np.isin(h, keep.value)
             sent, area, start, end = sent[on], area[on], start[on], end[on]
             joined = "\0".join(texts)
@@ -144,12 +147,12 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return scan.mix64(np.minimum(a, b) * np.uint64(3) + np.maximum(a, b))
 
 
-def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, most: int = MAX_LABELLED, more: int = MAX_MORE) -> Rules:
+def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, most: int = MAX_LABELLED) -> Rules:
     """The rules from docs (doc_id, text), with labels and areas as in the tables.
 
     First from the documents that were given one area, at most `most` of them, each sentence taken for the
-    document's area. Then ROUNDS times more from at most `more` documents of the corpus, each with the area
-    that clearly leads in it by the rules so far: that corrects wrong labels and documents with two areas,
+    document's area. Then ROUNDS times more from all documents of the corpus, each with the area that
+    clearly leads in it by the rules so far: that corrects wrong labels and documents with two areas,
     and finds the words that few labels show.
     """
     names = [r[0] for r in areas.where(F.col("area").isNotNull()).select("area").distinct().orderBy("area").collect()]
@@ -161,9 +164,9 @@ def mine(docs: DataFrame, labels: DataFrame, areas: DataFrame, most: int = MAX_L
     if not len(first.keys):
         return first
     first.least = _calibrate(lab, first)
-    rules, some = first, _at_most(texts, texts.count(), more).select("text")
+    rules, every = first, texts.select("text")
     for _ in range(ROUNDS):
-        again = _fit(some, names, rules)
+        again = _fit(every, names, rules)
         if not len(again.keys):
             break
         again.least = _calibrate(lab, again)
@@ -254,18 +257,21 @@ def _fit(texts: DataFrame, names: list[str], teacher: Rules | None) -> Rules:
 
 def score(texts: list[str], rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sentence, text number, area number, evidence) of each sentence that some rule matches."""
-    none = (*[np.zeros(0, np.int64)] * 3, np.zeros(0))
-    if not len(rules.keys):
-        return none
     h, sent, owner, _, _ = sentences(texts)
     on = np.isin(h, rules.words)
     h, sent, owner = h[on], sent[on], owner[on]
-    if not len(h):
-        return none
     order = np.lexsort((h, sent))
     h, sent, owner = h[order], sent[order], owner[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (sent[1:] != sent[:-1])]
-    h, sent, owner = h[new], sent[new], owner[new]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (sent[1:] != sent[:-1])
+    return _scored(h[new], sent[new], owner[new], rules)
+
+
+def _scored(h: np.ndarray, sent: np.ndarray, owner: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As score, from the distinct rule words of each sentence, in order of sentence and hash."""
+    none = (*[np.zeros(0, np.int64)] * 3, np.zeros(0))
+    if not len(rules.keys) or not len(h):
+        return none
     keys, at = [h], [sent]
     step = 1
     while step < len(h):  # all pairs of rule words of one sentence

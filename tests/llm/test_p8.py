@@ -51,6 +51,18 @@ def test_seeds_and_empty(spark):
     assert A.assign(d.limit(0), A.mine(d.limit(0), lab, ar)).count() == 0
 
 
+def test_rare_words_of_a_large_corpus_give_rules(spark):
+    # each rare word stands in four sentences of unlabelled documents, among more documents than any sample took
+    own = {a: [f"{a[:3]}woord{i}" for i in range(3)] for a in NAMES}
+    docs = [(i, " ".join(f"{w} gewoon.".capitalize() for w in own[NAMES[i % 3]])) for i in range(30_000)]
+    docs += [(40_000 + 4 * k + j, " ".join(f"{w} {x}.".capitalize() for w, x in zip(own[NAMES[k % 3]], (f"zeldzaam{k}", "gewoon", "gewoon")))) for k in range(12) for j in range(4)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, NAMES[i % 3]) for i in range(60)], "doc_id long, area string")
+    ar = spark.createDataFrame([(i, a) for i, a in enumerate(NAMES)], "area_id int, area string")
+    rules = {w: (a, n) for w, a, n, _ in A.mine(d, lab, ar).text}
+    assert {k: rules.get(f"zeldzaam{k}") for k in range(12)} == {k: (NAMES[k % 3], 4) for k in range(12)}
+
+
 def test_sentences():
     import numpy as np
 
