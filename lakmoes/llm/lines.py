@@ -97,10 +97,14 @@ def repeated_lines(seqs: DataFrame, min_rows: int = MIN_ROWS, min_share: float =
     return marks.groupBy("tabel", "id", F.col("nr").alias("regel_nr")).agg(F.max("length").alias("blok"))
 
 
-def remove_lines(docs: DataFrame, found: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """docs with `schoon`, the text without its repeated lines and otherwise as it was, and `n_weg`, how many went. A null text stays null."""
-    gone = found.groupBy(F.col("id").alias("_id")).agg(F.collect_set("regel_nr").alias("_gone"))
-    d = docs.drop("_id", "_gone").join(gone, F.col(id_col) == F.col("_id"), "left")
+def remove_lines(docs: DataFrame, found: DataFrame, id_col: str, text_col: str = "text", tabel: Column | None = None) -> DataFrame:
+    """docs with `schoon`, the text without its repeated lines and otherwise as it was, and `n_weg`, how many went. A null text stays null.
+
+    tabel says for each row of docs which table of found it belongs to; without it, all are of 'documents'.
+    """
+    gone = found.groupBy(F.col("tabel").alias("_in"), F.col("id").alias("_id")).agg(F.collect_set("regel_nr").alias("_gone"))
+    d = docs.drop("_id", "_gone", "_in", "_tabel").withColumn("_tabel", F.lit("documents") if tabel is None else tabel)
+    d = d.join(gone, (F.col(id_col) == F.col("_id")) & (F.col("_tabel") == F.col("_in")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("_gone", i.cast("int")), F.lit(False)))
-    return d.withColumn("schoon", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).withColumn("n_weg", F.coalesce(F.size("_gone"), F.lit(0))).drop("_id", "_gone")
+    return d.withColumn("schoon", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).withColumn("n_weg", F.coalesce(F.size("_gone"), F.lit(0))).drop("_id", "_gone", "_in", "_tabel")

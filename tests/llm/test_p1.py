@@ -50,3 +50,19 @@ def test_removal_and_longest_sequences(spark):
 
     patterns, _, longest = L.prefixspan(stage(L.line_sequences(d, "documents", "doc_id", "source"), "t"))
     assert longest == 2 and sorted(r["length"] for r in patterns.collect()) == [1, 1, 2]
+
+
+def test_both_tables_are_cleaned(spark, tmp_path):
+    # the same ids in both tables, the repeated line at another place, and a row without text
+    import hashlib
+
+    from lakmoes.llm import queries
+
+    eigen = ["a" * 20, "b" * 20, "c" * 20]
+    docs = [(i, f"{eigen[i]}\n{LINE.format(i)}\nslot", "a") for i in range(3)] + [(3, None, "a")]
+    bron = [(i, f"{NEXT}\n{eigen[i]}\nslot", "a") for i in range(3)] + [(3, None, "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bron, "rij_id long, text string, bron string").write.parquet(f"{tmp_path}/bron_document.parquet")
+    got = {(r["tabel"], r["id"]): (r["n_weg"], r["schoon_sha256"]) for r in queries.p1_clean_all(spark, str(tmp_path)).collect()}
+    want = {(t, i): (1, hashlib.sha256(f"{eigen[i]}\nslot".encode()).hexdigest()) for t in ("documents", "bron_document") for i in range(3)}
+    assert got == want | {("documents", 3): (0, None), ("bron_document", 3): (0, None)}
