@@ -5,8 +5,8 @@ terms of the block in order, and for each term its (document, position) list. `s
 window of `n` words of an item the term that is rarest in the corpus, reads that term's list in each
 segment, and intersects it with the lists of the other terms of the window at their offsets; as a segment
 holds all its postings, an intersection at a known (document, position) is one look into the inverted
-list. Runs that grow to `n` words are exact phrase matches; `proximity` finds documents that hold the rare
-terms of an item close to each other.
+list. Runs that grow to `n` words are exact phrase matches; `proximity` adds documents that hold enough of the
+rare terms of a window, or those of the whole item, close to each other.
 
 Words are runs of letters and digits with letter case and accents set aside.
 """
@@ -190,61 +190,147 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
     return hits.groupBy("doc_id", "item_id").agg(F.countDistinct("doc_pos").alias("plaatsen"), F.max("words").alias("woorden"))
 
 
-def proximity(index: DataFrame, items: DataFrame, rare: int = 6, within: int = 40, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, termen): documents that hold the `rare` rarest terms of an item, all within `within` words.
+def proximity(index: DataFrame, items: DataFrame, rare: int = 6, within: int = 40, share: float = 2 / 3, n: int = WORDS, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, termen): documents with a passage of an item, whole or in part, word for word or reworded; termen is how many terms were found together.
 
-    For passages that were reworded. Terms that the corpus lacks don't count; items with fewer terms match with all of them.
+    A document matches an item if it holds n consecutive words of it; or if, for some window of n words of
+    the item, at least `share` of the window's `rare` rarest terms, in corpus and items, stand within n words of one of them, rare
+    enough that every such share holds one of its kind, and are so rare that by chance fewer than one place of
+    the corpus has them for all windows of the item, and fewer than one window of the other items; or if all the `rare` rarest terms of the whole item
+    stand within `within` words of the rarest. Windows and items with fewer terms match with all of them.
+    Terms that the corpus lacks are never among the rarest.
     """
     spark = index.sparkSession
-    out = None
+    out = search(index, items, n, id_col, text_col).select("doc_id", "item_id", F.lit(n).alias("termen"))
+    total = int(index.agg(F.sum(F.length("places"))).first()[0] or 0) // np.dtype(np.int32).itemsize
     for seq, owner, starts, names in _item_blocks(items, id_col, text_col):
         terms = np.unique(seq)
         wanted = spark.sparkContext.broadcast(terms)
         parts = index.select("terms", "counts").mapInArrow(_frequencies(wanted), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
         df = np.zeros(len(terms), np.int64)
         df[parts["term"].to_numpy(dtype=np.int64)] = parts["n"].to_numpy(dtype=np.int64)
-        chosen = []
-        for a, b in zip(starts[:-1], starts[1:]):
-            own = np.unique(seq[a:b])
-            n = df[np.searchsorted(terms, own)]
-            own = own[n > 0]
-            chosen.append(own[np.argsort(n[n > 0], kind="stable")][:rare])
-        query = spark.sparkContext.broadcast((chosen, names))
-        part = index.mapInArrow(_near(query, within), "doc_id long, item_id long, termen int")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, termen int")
-
-
-def _near(query, within: int):
-    chosen, names = query.value
+        # log2 of how unlikely a term is by chance in a stretch of the corpus, and in another item
+        in_items = np.bincount(np.searchsorted(terms, np.unique(np.stack([seq, owner.astype(np.uint64)]), axis=1)[0]), minlength=len(terms))
+        bits = np.log2(np.stack([np.maximum(total / (np.maximum(df, 1) * (2 * n + 1)), 1), (len(names) + 1) / np.maximum(in_items, 1)]))
+        many = np.maximum(np.diff(starts) - n + 1, 1)
+        whole, windows = [], []
+        for a, b, own in zip(starts[:-1], starts[1:], many):
+            words = seq[a:b]
+            whole.append(_rarest(words, terms, df, rare))
+            least = np.log2([max(total, 1) * own, 1 + many.sum() - own])
+            windows.append(_windows([words[k : k + n] for k in range(own)], terms, df, bits, least, rare, share))
+        query = spark.sparkContext.broadcast((whole, windows, names))
+        out = out.unionByName(index.mapInArrow(_near(query, within, n), "doc_id long, item_id long, termen int"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("termen").alias("termen"))
+
+
+def _rarest(words: np.ndarray, terms: np.ndarray, df: np.ndarray, rare: int) -> np.ndarray:
+    """The distinct words that are the rarest of those that the corpus has, rarest first."""
+    own = np.unique(words)
+    n = df[np.searchsorted(terms, own)]
+    own = own[n > 0]
+    return own[np.argsort(n[n > 0], kind="stable")][:rare]
+
+
+def _windows(parts: list[np.ndarray], terms: np.ndarray, df: np.ndarray, bits: np.ndarray, least: np.ndarray, rare: int, share: float):
+    """(terms, sets, need, anchor, bits, least) of an item.
+
+    Its chosen terms, for each window which of them it has and how many must be found, the terms of which each
+    match holds one, and how unlikely each term is by chance, in the corpus and in other items, with the sums to reach.
+    """
+    sets: dict[tuple[int, ...], int] = {}
+    anchors: set[int] = set()
+    for words in parts:
+        own = np.unique(words)
+        at = np.searchsorted(terms, own)
+        size, at = len(own), at[df[at] > 0]
+        at = at[np.argsort(-bits[:, at].min(axis=0), kind="stable")][:rare]
+        need = int(np.ceil(share * rare - 1e-9)) if size >= rare else size
+        if size and len(at) >= need and (bits[:, at].sum(axis=1) >= least).all():
+            sets[tuple(sorted(at.tolist()))] = need
+            anchors |= set(at[: len(at) - need + 1].tolist())
+    chosen = np.unique(np.asarray([t for x in sets for t in x], np.int64))
+    member = np.zeros((len(sets), len(chosen)), np.float32)
+    for k, x in enumerate(sets):
+        member[k, np.searchsorted(chosen, np.asarray(x, np.int64))] = 1
+    return terms[chosen], member, np.asarray(list(sets.values()), np.float32), np.isin(chosen, np.asarray(list(anchors), np.int64)), bits[:, chosen].astype(np.float32), least
+
+
+def _near(query, within: int, reach: int):
+    whole, windows, names = query.value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int, int]] = []
+            found: dict[tuple[int, int], int] = {}
             for row in batch.to_pylist():
                 docs, starts = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["starts"], np.int32)
                 terms, counts, places = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.int32), np.frombuffer(row["places"], np.int32)
                 if not len(terms):
                     continue
                 offset = np.cumsum(counts) - counts
-                for own, name in zip(chosen, names):
-                    if not len(own):
-                        continue
-                    at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
-                    if not (terms[at] == own).all():
-                        continue
-                    # intersect from the rarest term: each of its postings needs all others nearby
-                    at = at[np.argsort(counts[at], kind="stable")]
-                    p = places[offset[at[0]] : offset[at[0]] + counts[at[0]]].astype(np.int64)
-                    doc = np.searchsorted(starts, p, side="right") - 1
-                    for t in at[1:]:
-                        q = places[offset[t] : offset[t] + counts[t]]
-                        lo = np.searchsorted(q, np.maximum(p - within, starts[doc]))
-                        hi = np.searchsorted(q, np.minimum(p + within, starts[doc + 1] - 1), side="right")
-                        p, doc = p[hi > lo], doc[hi > lo]
-                        if not len(p):
-                            break
-                    found += [(int(d), int(name), len(own)) for d in docs[np.unique(doc)]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "termen"])
+                text = np.empty(len(places), np.int64)
+                text[places] = np.repeat(np.arange(len(terms)), counts)
+                doc_of = np.repeat(np.arange(len(docs)), np.diff(starts))
+                number = np.full(len(terms), -1, np.int64)
+                for own, parts, name in zip(whole, windows, names):
+                    for d, k in [*_all_near(own, terms, counts, places, offset, starts, within), *_share_near(parts, terms, counts, places, offset, text, doc_of, number, reach)]:
+                        key = int(docs[d]), int(name)
+                        found[key] = max(k, found.get(key, 0))
+            rows = [(d, i, k) for (d, i), k in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "termen"])
 
     return run
+
+
+def _all_near(own, terms, counts, places, offset, starts, within: int) -> Iterator[tuple[int, int]]:
+    """(document, terms) of the segment's documents that hold all terms within so many words of the rarest."""
+    if not len(own):
+        return
+    at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+    if not (terms[at] == own).all():
+        return
+    # intersect from the rarest term: each of its postings needs all others nearby
+    at = at[np.argsort(counts[at], kind="stable")]
+    p = places[offset[at[0]] : offset[at[0]] + counts[at[0]]].astype(np.int64)
+    doc = np.searchsorted(starts, p, side="right") - 1
+    for t in at[1:]:
+        q = places[offset[t] : offset[t] + counts[t]]
+        lo = np.searchsorted(q, np.maximum(p - within, starts[doc]))
+        hi = np.searchsorted(q, np.minimum(p + within, starts[doc + 1] - 1), side="right")
+        p, doc = p[hi > lo], doc[hi > lo]
+        if not len(p):
+            return
+    for d in np.unique(doc):
+        yield d, len(own)
+
+
+def _share_near(parts, terms, counts, places, offset, text, doc_of, number, reach: int) -> Iterator[tuple[int, int]]:
+    """(document, terms) of the segment's documents that hold enough terms of a window within so many words of an anchor. number is -1 for all terms, and is left so."""
+    chosen, member, need, anchor, bits, least = parts
+    if not len(chosen):
+        return
+    at = np.minimum(np.searchsorted(terms, chosen), len(terms) - 1)
+    here = terms[at] == chosen
+    open_ = member @ here.astype(np.float32) >= need
+    start = at[here & anchor & (member[open_].sum(axis=0) > 0)]
+    if not len(start):
+        return
+    number[at[here]] = np.flatnonzero(here)
+    p = np.concatenate([places[offset[t] : offset[t] + counts[t]] for t in start]).astype(np.int64)
+    step = np.arange(-reach, reach + 1)
+    for lo in range(0, len(p), 1 << 14):
+        own = p[lo : lo + (1 << 14)]
+        x = own[:, None] + step
+        ok = (x >= 0) & (x < len(text))
+        x = np.where(ok, x, own[:, None])
+        k = np.where(doc_of[x] == doc_of[own][:, None], number[text[x]], -1)
+        held = np.zeros((len(own), len(chosen) + 1), np.float32)
+        held[np.arange(len(own))[:, None], k] = 1  # the last column takes the other words
+        n = held[:, :-1] @ member[open_].T
+        n[n < need[open_]] = 0
+        for b, k in zip(bits, least):
+            n[held[:, :-1] @ (member[open_] * b).T < k] = 0
+        best = n.max(axis=1)
+        for i in np.flatnonzero(best):
+            yield doc_of[own[i]], int(best[i])
+    number[at[here]] = -1

@@ -61,3 +61,23 @@ def test_two_blocks_of_items_and_near(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in L.leaks(d, i).collect()} == {(1, 7)}
     near = {(r["doc_id"], r["item_id"]) for r in L.proximity(L.build_index(d), i, rare=6, within=40).collect()}
     assert (2, 8) in near and (1, 7) in near and (3, 8) not in near
+
+
+def test_near_partial_and_far_apart(spark):
+    rng = random.Random(7)
+    words = ["de", "het", "één", "raad"] + [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.sample(words, 90))) for i in range(6)]
+    docs = [(i, "vul " * 30 + items[i][1] + " vul" * 30) for i in range(3)]  # whole, its rarest terms far apart
+    docs += [(10 + i, "vul " * 30 + " ".join(items[i][1].split()[40 + i : 52 + i]) + " vul" * 30) for i in range(6)]  # twelve words
+    for i in range(6):  # a part, with each fifth word another and a word put in
+        w = items[i][1].split()[20:44]
+        docs.append((20 + i, " ".join(["vul"] * 30 + [x if k % 5 else f"anders{k}" for k, x in enumerate(w)] + ["vul"] * 30)))
+    docs += [(30 + i, " ".join(f"{x} " + "vul " * 30 for x in items[i][1].split())) for i in range(6)]  # the words, nowhere near each other
+    docs += [(40, "vul " * 50), (41, ""), (42, None)]
+    d, i = frames(spark, docs, items)
+    index = L.build_index(d)
+    near = {(r["doc_id"], r["item_id"]) for r in L.proximity(index, i).collect()}
+    exact = {(r["doc_id"], r["item_id"]) for r in L.leaks(d, i).collect()}
+    assert {(k, k) for k in range(3)} | {(10 + k, k) for k in range(6)} <= exact <= near
+    assert {(20 + k, k) for k in range(6)} <= near
+    assert not [x for x in near if x[0] >= 30 or x[0] % 10 != x[1]]
