@@ -222,6 +222,14 @@ def per_source_summary(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.per_source(d, hits, "bron", "rij_id")
 
 
+def per_source_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """As per_source_summary, with the findings of all detectors in text, chunks and metadata; SQL can't tell those."""
+    d = table(spark, sf, "bron_document")
+    with_text = d.withColumn("_text", F.coalesce(F.col("text").isNotNull() | (F.size("chunks") > 0), F.lit(False)))
+    hits = detectors.scan_documents(d, ["bron", "rij_id"]).select("bron").unionByName(detectors.hidden_sheets(d, ["bron"]).select("bron"))
+    return manifest.per_source(with_text, hits, "bron", "rij_id")
+
+
 def capped_per_source(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.capped(table(spark, sf, "documents").select("source", "doc_id"), "source", ["doc_id"], 5)
 
@@ -330,6 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resume_anti_join": resume_anti_join,
     "metadata_flatten": metadata_flatten,
     "per_source_summary": per_source_summary,
+    "per_source_findings": per_source_findings,
     "capped_per_source": capped_per_source,
     "slice_cross_join": slice_cross_join,
     "newest_snapshot": newest_snapshot,

@@ -40,5 +40,21 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_findings_per_source_are_whole(spark, tmp_path):
+    bsn, mail = "BSN 111222333", "mail a.b@voorbeeld.nl"
+    rows = [
+        (1, "a", None, [(0, "p1", mail), (1, "p2", bsn)], None),
+        (2, "a", "", [(0, "p1", mail)], {"auteur": "c.d@voorbeeld.nl"}),
+        (3, "a", f"{mail} en {mail}", None, {"_verborgen_tabbladen": "Blad2"}),
+        (4, "a", None, None, None),
+        (5, None, f"{bsn}\n06-12345678", [], None),
+        (6, "b", "niets", None, None),
+    ]
+    schema = "rij_id long, bron string, text string, chunks array<struct<idx:int,loc:string,text:string>>, meta map<string,string>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/bron_document.parquet")
+    got = {r["bron"]: (r["n_url"], r["n_tekst"], r["n_hit"]) for r in core.QUERIES["per_source_findings"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (1, 3, 2 + 2 + 3), None: (0, 1, 2), "b": (0, 1, 0)}
+
+
 def test_entry(spark):
     assert E.entry(spark).count() > 0 and set(E.oracle_sql()) <= set(E.queries())
