@@ -26,15 +26,20 @@ def main(argv: list[str] | None = None) -> int:
     table, known = f"{conf.output_dir}/findings", f"{conf.output_dir}/gedaan"
     n = 0
     if not a.report_only:
-        docs, status = registry.read_sources(spark, conf.bronnen)
+        docs, status = registry.read_sources(spark, registry.configured(conf))
         text, address, rejects = manifest.split_documents(docs)
+        without = address.unionByName(rejects)
+        # a workbook whose sheets hold nothing still has a finding if some are hidden
+        text = text.unionByName(without.where(F.length(F.col("meta")["_verborgen_tabbladen"]) > 0))
         if os.path.isdir(known):
             text = manifest.unseen(text, spark.read.parquet(known), ["bron", "doc_id"])
-        found = detectors.scan_documents(text, ["bron", "doc_id", "url", "titel"], conf.eigen_domeinen, conf.detectors)
+        keys = ["bron", "doc_id", "url", "titel"]
+        found = detectors.scan_documents(text, keys, conf.eigen_domeinen, conf.detectors)
+        found = found.unionByName(detectors.hidden_sheets(text, keys), allowMissingColumns=True)
         sinks.append_findings(found.withColumn("local_path", F.lit(None).cast("string")), table)
         text.select("bron", "doc_id").distinct().write.mode("append").parquet(known)
         status.write.mode("overwrite").json(f"{conf.output_dir}/bronnen")
-        address.select("bron", "url", "titel").unionByName(rejects.select("bron", "url", "titel")).write.mode("overwrite").parquet(f"{conf.output_dir}/zonder_tekst")
+        without.select("bron", "url", "titel", F.coalesce(F.col("meta")["_fout"], F.lit("")).alias("reden")).write.mode("overwrite").parquet(f"{conf.output_dir}/zonder_tekst")
     found = spark.read.parquet(table)
     files = found.where(F.col("url").isNotNull()).groupBy("url").agg(F.min("bron").alias("herkomst"), F.min("titel").alias("titel"))
     rows = manifest.report_rows(found.drop("titel"), files)

@@ -14,7 +14,7 @@ def _texts(x) -> list[str]:
 
 @dataclass
 class Config:
-    """Unknown keys are ignored; a relative output folder is taken from the folder of the file."""
+    """Unknown keys are ignored; a relative output folder is taken from the folder of the file. paginas is the table of landed pages (url, html) that seeds are walked over."""
 
     seeds: list[str] = field(default_factory=list)
     toegestane_domeinen: list[str] = field(default_factory=list)
@@ -22,6 +22,7 @@ class Config:
     bronnen: list[dict] = field(default_factory=list)
     detectors: dict[str, bool] = field(default_factory=dict)
     output_dir: str = "output"
+    paginas: str = ""
     max_pages: int = 5000
     max_files: int = 20000
     max_depth: int = 8
@@ -33,6 +34,7 @@ class Config:
         c = cls()
         for k in ("max_pages", "max_files", "max_depth", "max_mb"):
             setattr(c, k, int(d.get(k, getattr(c, k))))
+        c.paginas = os.path.join(base, str(d["paginas"])) if d.get("paginas") else ""
         c.delay_seconds = float(d.get("delay_seconds", c.delay_seconds))
         c.seeds, c.bronnen = _texts(d.get("seeds")), [b for b in d.get("bronnen") or [] if isinstance(b, Mapping)]
         c.eigen_domeinen = [x.lstrip("@").lower() for x in _texts(d.get("eigen_domeinen"))]

@@ -221,6 +221,15 @@ def read_files(spark: SparkSession, path: str, max_mb: int = MAX_MB) -> DataFram
     return f.select("path", F.when(ext == "", F.lit("bin")).otherwise(ext).alias("ext"), "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
+def too_large(spark: SparkSession, path: str, max_mb: int = MAX_MB) -> DataFrame:
+    """(path, ext, sha256, status, chunks, meta) of the files above the size cap, as decode gives them: status 'too large', with _fout in the metadata. Contents aren't read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > max_mb * 1024 * 1024)
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    why = F.concat(F.lit("too large: "), F.col("length").cast("string"), F.lit(f" bytes, above {max_mb} MB"))
+    rows = f.select("path", F.when(ext == "", F.lit("bin")).otherwise(ext).alias("ext"), F.lit(None).cast("string").alias("sha256"), F.lit("too large").alias("status"), why.alias("why"))
+    return rows.select("path", "ext", "sha256", "status", F.array().cast(CHUNK).alias("chunks"), F.create_map(F.lit("_fout"), F.col("why")).alias("meta"))
+
+
 def decode(files: DataFrame) -> DataFrame:
     """(path, ext, sha256, status, chunks, meta) of each content once; equal contents are decoded under their first path."""
     first = files.groupBy("sha256").agg(F.min("path").alias("_first"))

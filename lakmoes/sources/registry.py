@@ -10,15 +10,24 @@ import glob
 import os
 from collections.abc import Callable, Iterator
 from functools import reduce
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
+from lakmoes.config import Config
+from lakmoes.operators import crawl
+from lakmoes.plans.stage import stage
 from lakmoes.sources import files, records
 
 DOCUMENT = "bron string, doc_id string, url string, ext string, titel string, text string, chunks array<struct<idx:int,loc:string,text:string>>, meta map<string,string>"
 
+MEETING = (
+    f"Id string, MeetingtypeId string, MeetingDate string, Documents {records.DOC}, "
+    f"MeetingItems array<struct<Features:string,Documents:{records.DOC}>>, ListItems array<struct<Documents:{records.DOC}>>"
+)
+
 
 class SourceNotReady(Exception):
     """The source could not be read; its emptiness says nothing."""
@@ -95,7 +104,8 @@ def _portal(spark: SparkSession, conf: dict) -> DataFrame:
 
 
 def _folder(spark: SparkSession, conf: dict) -> DataFrame:
-    d = files.decode(files.read_files(spark, conf["path"], int(conf.get("max_mb", files.MAX_MB))))
+    cap = int(conf.get("max_mb", files.MAX_MB))
+    d = files.decode(files.read_files(spark, conf["path"], cap)).unionByName(files.too_large(spark, conf["path"], cap))
     return d.select(F.col("path").alias("url"), "ext", F.col("sha256").alias("doc_id"), "chunks", "meta")
 
 
@@ -103,15 +113,57 @@ def _table(spark: SparkSession, conf: dict) -> DataFrame:
     return spark.read.parquet(conf["path"])
 
 
+def _ibabs(spark: SparkSession, conf: dict) -> DataFrame:
+    """Landed meetings (JSON, one a line) at path, and their types (Id, Meetingtype) at types."""
+    if not conf.get("sitename"):
+        raise SourceNotReady("ibabs needs a sitename")
+    types = spark.read.schema("Id string, Meetingtype string").json(conf["types"]) if conf.get("types") else spark.createDataFrame([], "Id string, Meetingtype string")
+    meetings = spark.read.schema(MEETING).json(conf["path"])
+    wanted = records.resolve_types(conf.get("meetingtypes"), types)
+    if wanted is not None:
+        meetings = meetings.where(F.col("MeetingtypeId").isin(wanted))
+    d = records.meeting_documents(meetings, types, conf["sitename"])
+    if meetings.isEmpty():
+        raise SourceNotReady("no meetings")
+    if d.isEmpty():
+        raise SourceNotReady("meetings without any document")
+    names = {"site": "iBabs_site", **{c: c for c in ("agendatype", "vergaderdatum", "meeting_id", "niveau", "bestandsnaam", "vertrouwelijk")}}
+    meta = F.create_map(*[x for c, k in names.items() for x in (F.lit(k), F.col(c).cast("string"))])
+    return d.select("doc_id", "url", "ext", "titel", meta.alias("meta"))
+
+
+def _crawl(spark: SparkSession, conf: dict) -> DataFrame:
+    """The documents linked from the pages that seeds reach over the landed pages (url, html) at path, within the allowed domains and the limits."""
+    if not conf.get("path"):
+        raise SourceNotReady("seeds need landed pages (paginas)")
+    pages = spark.read.parquet(conf["path"])
+    hosts = [h for u in conf["seeds"] if (h := urlsplit(u).hostname)]
+    found = crawl.links(pages)
+    found = stage(found.where(crawl.allowed(F.col("link"), [*hosts, *conf.get("toegestane_domeinen", [])])).withColumn("soort", crawl.link_class(F.col("link"))).distinct(), "crawl-links")
+    seeds = spark.createDataFrame([(u,) for u in conf["seeds"]], "url string")
+    reached = crawl.walk(seeds, found.where("soort = 'page'").select("url", "link"), int(conf.get("max_depth", 8)), int(conf.get("max_pages", 5000)))
+    if reached.join(pages.select("url"), "url", "left_semi").isEmpty():
+        raise SourceNotReady("none of the seeds has landed")
+    docs = found.where("soort = 'file'").join(reached.select("url"), "url", "left_semi").select(F.col("link").alias("url")).distinct().orderBy("url").limit(int(conf.get("max_files", 20000)))
+    return docs.select("url", F.col("url").alias("doc_id"), F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)(?:[?#]|$)", 1)).alias("ext"))
+
+
 def _not_available(spark: SparkSession, conf: dict) -> DataFrame:
     raise SourceNotReady("this service has no open interface")
 
 
 CONNECTORS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {
-    "sru": _announcements, "openraadsinformatie": _council, "parlaeus": _modules, "mijnpublicaties": _portal, "map": _folder, "tabel": _table, "notubiz": _not_available,
+    "sru": _announcements, "openraadsinformatie": _council, "parlaeus": _modules, "mijnpublicaties": _portal, "map": _folder, "tabel": _table, "ibabs": _ibabs, "crawl": _crawl, "notubiz": _not_available,
 }
 
 
+def configured(conf: Config) -> list[dict]:
+    """The sources of a configuration, with its limits where they have none, and its seeds as a source of their own."""
+    common = {"max_mb": conf.max_mb, "max_pages": conf.max_pages, "max_depth": conf.max_depth, "max_files": conf.max_files, "toegestane_domeinen": conf.toegestane_domeinen}
+    own = [{"type": "crawl", "naam": "seeds", "seeds": conf.seeds, "path": conf.paginas}] if conf.seeds else []
+    return [{**common, **b} for b in own + conf.bronnen]
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LandedSource)
 

@@ -133,6 +133,37 @@ def test_registry(spark, tmp_path):
     assert {r["naam"]: r["gelezen"] for r in status.collect()} == {"raad": True, "notubiz": False, "wat": False, "tabel": False}
 
 
+def test_pipeline_leaves_nothing_out(spark, tmp_path):
+    import json
+
+    from lakmoes import cli
+
+    book = tmp_path / "x.xlsx"
+    sinks.write_workbook(str(book), ["k"], [["v"]])
+    z = zipfile.ZipFile(book)
+    parts = {n: z.read(n) for n in z.namelist()}
+    parts["xl/workbook.xml"] = parts["xl/workbook.xml"].replace(b'sheetId="1"', b'sheetId="1" state="hidden"')
+    (tmp_path / "map").mkdir()
+    (tmp_path / "map" / "geheim.xlsx").write_bytes(_zip(parts))
+    (tmp_path / "map" / "groot.pdf").write_bytes(b"x" * (1 << 20) + b"x")
+    doc = {"Id": "d1", "FileName": "stuk.docx", "PublicDownloadURL": "https://r.nl/d1"}
+    (tmp_path / "m.json").write_text(json.dumps({"Id": "m", "MeetingtypeId": "t", "MeetingItems": [{"Features": "3", "Documents": [doc]}]}) + "\n")
+    (tmp_path / "t.json").write_text('{"Id":"t","Meetingtype":"Raad"}\n')
+    pages = [("https://g.nl/", '<a href="/a">a</a><a href="https://elders.example/weg.pdf">x</a>'), ("https://g.nl/a", '<a href="b.PDF">b</a>'), ("https://g.nl/los", '<a href="c.pdf">c</a>')]
+    spark.createDataFrame(pages, "url string, html string").write.parquet(str(tmp_path / "paginas"))
+    sources = [{"type": "map", "path": str(tmp_path / "map")}, {"type": "ibabs", "naam": "raad", "sitename": "s", "path": str(tmp_path / "m.json"), "types": str(tmp_path / "t.json"), "meetingtypes": ["raad"]}, {"type": "ibabs", "naam": "zonder"}]
+    (tmp_path / "c.yaml").write_text(json.dumps({"seeds": ["https://g.nl/"], "paginas": "paginas", "max_mb": 1, "bronnen": sources}))
+    assert cli.main(["--config", str(tmp_path / "c.yaml")]) == 0
+    out = tmp_path / "output"
+    assert [(r["soort"], r["ernst"], os.path.basename(r["url"])) for r in spark.read.parquet(str(out / "findings")).collect()] == [("Verborgen tabblad", "Middel", "geheim.xlsx")]
+    assert {r["naam"]: r["gelezen"] for r in spark.read.json(str(out / "bronnen")).collect()} == {"seeds": True, "map": True, "raad": True, "zonder": False}
+    rest = {os.path.basename(r["url"]): (r["bron"], r["reden"][:9]) for r in spark.read.parquet(str(out / "zonder_tekst")).collect()}
+    assert rest == {"b.PDF": ("seeds", ""), "d1": ("raad", ""), "groot.pdf": ("map", "too large")}
+    assert cli.main(["--config", str(tmp_path / "c.yaml")]) == 0 and spark.read.parquet(str(out / "findings")).count() == 1
+    status = registry.read_sources(spark, registry.configured(Config.of({"seeds": ["https://g.nl/"]})))[1].collect()
+    assert [(r["naam"], r["gelezen"]) for r in status] == [("seeds", False)] and "landed pages" in status[0]["reden"]
+
+
 def test_crawl(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "e"), ("a", None)], "url string, link string")
     seeds = spark.createDataFrame([("a",), ("a",), (None,)], "url string")
