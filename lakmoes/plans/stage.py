@@ -20,9 +20,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is set (tests), a temporary one of this machine."""
+    """The shared folder of the session; where none is set, a temporary one of this machine, on local masters only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it has to name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="lakmoes-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from lakmoes.functions import scalars as S
 from lakmoes.functions.urls import normal_digest, normal_key, normal_status, normal_url
 from lakmoes.operators import crawl, detectors, incremental, manifest
-from lakmoes.plans.stage import shared_dir, stage_path
+from lakmoes.plans.stage import stage_path
 from lakmoes.sources import records
 from lakmoes.streaming import resume
 
@@ -21,9 +20,46 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs on one log: one up to the batch before the newest, then one over what came after it, merged with the state; gives the work list that the second has committed."""
     t = {n: table(spark, sf, n) for n in ("files", "bron_document", "text_done", "runs")}
-    root = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
-    return incremental.next_run(spark, root, t["files"], t["bron_document"], t["text_done"], t["runs"])[1]
+    root = stage_path(spark, "p5-runs")
+    newest = t["files"].agg(F.max("batch_nr")).first()[0] or 0
+    most = {"files": incremental.upper_bound(t["files"].where(F.col("batch_nr") < newest), "file_id"), "bron_document": incremental.upper_bound(t["bron_document"], "rij_id") * 39 // 40}
+    for bounds in (most, None):
+        run, outputs = incremental.next_run(spark, root, t["files"], t["bron_document"], t["text_done"], t["runs"], bounds)
+        run.commit(outputs)
+    return incremental.committed(spark, root, "werk", "tabel string, id long", last=True)
+
+
+def p5_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """(file_id, commit): which commit delivered each row of files, over four runs of which one fails while it writes and one is overtaken by a rival."""
+    files = table(spark, sf, "files").select("file_id", "batch_nr")
+    root = stage_path(spark, "p5-log")
+    bound = lambda k: {"files": incremental.upper_bound(files.where(F.col("batch_nr") <= k), "file_id")}
+
+    def opened(k: int | None) -> incremental.IncrementalRun:
+        return incremental.open_run(spark, root, {"files": (files, "file_id")}, bound(k) if k else None)
+
+    def rows(run: incremental.IncrementalRun) -> DataFrame:
+        return run.arrived("files", files, "file_id").select("file_id", F.lit(run.base + 1).alias("commit"))
+
+    first = opened(10)
+    first.commit({"rijen": rows(first)})
+    broken = opened(20)
+    try:
+        broken.commit({"rijen": rows(broken).withColumn("file_id", F.when(F.col("file_id") == broken.high["files"], F.raise_error(F.lit("stuk")).cast("bigint")).otherwise(F.col("file_id")))})
+    except Exception as e:  # the task that fails is the point
+        if "stuk" not in str(e):
+            raise
+    slow, rival = opened(20), opened(30)
+    rival.commit({"rijen": rows(rival)})
+    try:
+        slow.commit({"rijen": rows(slow)})
+    except incremental.Overtaken:
+        pass
+    rest = opened(None)
+    rest.commit({"rijen": rows(rest)})
+    return incremental.committed(spark, root, "rijen", "file_id long, commit int")
 
 
 def _digits(c: str, factor: int, n: int) -> Column:
@@ -310,6 +346,7 @@ url_n AS (SELECT * EXCLUDE (u, scheme, rest, host, path, query, host2, params),
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
+    "p5_runs": p5_runs,
     "elfproef_valid": elfproef_valid,
     "iban_mod97": iban_mod97,
     "mask_values": mask_values,
@@ -377,6 +414,7 @@ _FIRST = "first_m AS (SELECT url, min(file_id) AS file_id, arg_min(struct_pack(h
 _REPORT = "coalesce(f.url, '') AS url, coalesce(local_path, '') AS local_path, coalesce(soort, '') AS soort, coalesce(ernst, '') AS ernst, coalesce(waarde_masked, '') AS waarde_masked, coalesce(locatie, '') AS locatie, coalesce(context, '') AS context, coalesce(opmerking, '') AS opmerking, coalesce(herkomst, '') AS gemeente, left(coalesce(titel, ''), 90) AS onderwerp"
 
 SQL: dict[str, str] = {
+    "p5_runs": "SELECT file_id, CASE WHEN file_id <= (SELECT max(file_id) FROM files WHERE batch_nr <= 10) THEN 0 WHEN file_id <= (SELECT max(file_id) FROM files WHERE batch_nr <= 30) THEN 1 ELSE 2 END AS commit FROM files",
     "elfproef_valid": f"SELECT c_custkey, d AS nummer, {_ELF} AS geldig FROM (SELECT c_custkey, {_d('c_custkey', 123457, 9)} AS d FROM customer)",
     "iban_mod97": f"SELECT c_custkey, 'NL' || c || 'ABNA' || n AS iban, CAST('10112310' || n || '2321' || c AS HUGEINT) % 97 = 1 AS geldig FROM (SELECT c_custkey, {_d('c_custkey', 31, 2)} AS c, {_d('c_custkey', 7919, 10)} AS n FROM customer)",
     "mask_values": f"SELECT file_id, {_m('url')} AS url_masked, {_m('ext')} AS ext_masked, {_m('left(url, 7)')} AS kort_masked FROM files",

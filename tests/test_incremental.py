@@ -79,3 +79,37 @@ def test_watermark_and_atomic_commit(spark, tmp_path):
     # nothing new: the watermark stays
     last = I.open_run(spark, root, {"files": (files, "file_id")})
     assert last.arrived("files", files, "file_id").count() == 0 and last.high == {"files": 12}
+    # a table that has lost rows does not lower it
+    assert I.open_run(spark, root, {"files": (files.where("file_id < 3"), "file_id")}).high == {"files": 12}
+
+
+def test_of_two_runs_on_one_commit_one_counts(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    rows = spark.range(200)
+    a = I.open_run(spark, root, {"t": (rows.where("id < 100"), "id")})
+    b = I.open_run(spark, root, {"t": (rows, "id")})
+    b.commit({"uit": b.arrived("t", rows, "id")})
+    with pytest.raises(I.Overtaken):
+        a.commit({"uit": a.arrived("t", rows, "id")})
+    assert I.watermark(spark, root) == {"t": 199} and I.committed(spark, root, "uit", "id long").count() == 200
+
+
+def test_runs_merge_with_the_state(spark, tmp_path):
+    files, docs, marks, runs = tables(spark)
+    want_f = sorted(r["file_id"] for r in I.pending_files(files, runs).collect())
+    want_d = sorted(r["rij_id"] for r in I.pending_documents(docs, marks, runs).collect())
+    for cuts in ([3, 8],):
+        root = str(tmp_path / f"runs{len(cuts)}")
+        for k in [*cuts, None]:
+            run, out = I.next_run(spark, root, files, docs, marks, runs, None if k is None else {"files": k, "bron_document": k // 2})
+            run.commit(out)
+        work = I.committed(spark, root, "werk", "tabel string, id long", last=True).collect()
+        assert sorted(r["id"] for r in work if r["tabel"] == "files") == want_f and sorted(r["id"] for r in work if r["tabel"] == "bron_document") == want_d
+    # a run whose outcome is told later takes its rows off the list, and one that turns out bad puts them back
+    for uitkomst, mine in (("ok", [4, 6, 9, 10]), ("mislukt", want_f)):
+        told = spark.createDataFrame([(1, "ok"), (2, uitkomst), (3, None)], RUNS)
+        run, out = I.next_run(spark, root, files, docs, marks, told)
+        run.commit(out)
+        work = I.committed(spark, root, "werk", "tabel string, id long", last=True).collect()
+        assert sorted(r["id"] for r in work if r["tabel"] == "files") == mine
+        assert sorted(r["id"] for r in work if r["tabel"] == "bron_document") == sorted(r["rij_id"] for r in I.pending_documents(docs, marks, told).collect())
