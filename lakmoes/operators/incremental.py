@@ -68,11 +68,16 @@ class IncrementalRun:
         """What all commits up to `base` hold under a name, or only the last one."""
         return committed(self.spark, self.root, name, schema, self.base, last)
 
-    def commit(self, outputs: dict[str, DataFrame]) -> str:
-        """Write the outputs, then make them and the new watermark visible by one marker; Overtaken if its number is taken."""
+    def write(self, outputs: dict[str, DataFrame]) -> str:
+        """Write the outputs into the folder of this run, where nobody reads them yet."""
         folder = f"{self.root}/data-{self.run_id}"
         for name, df in outputs.items():
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return folder
+
+    def commit(self, outputs: dict[str, DataFrame]) -> str:
+        """Write the outputs, then make them and the new watermark visible by one marker; Overtaken if its number is taken."""
+        folder = self.write(outputs)
         marker = {"high": self.high, "run_id": self.run_id, "folder": f"data-{self.run_id}", "tables": sorted(outputs)}
         _put_if_absent(self.spark, self.root, f"commit-{self.base + 1:08d}.json", json.dumps(marker))
         return folder
