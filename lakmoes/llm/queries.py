@@ -123,8 +123,9 @@ def p7_proximity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return areas.assign(docs, areas.mine(docs, table(spark, sf, "area_labels"), table(spark, sf, "areas")))
+    names = table(spark, sf, "areas")
+    blocks = areas.tokenised(table(spark, sf, "documents"), table(spark, sf, "area_labels"), names)
+    return areas.assign(blocks, areas.mine(blocks, names))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,8 +139,9 @@ def p8_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rules = areas.mine(table(spark, sf, "documents"), table(spark, sf, "area_labels"), table(spark, sf, "areas"))
-    return spark.createDataFrame(rules.text, "woorden string, area string, zinnen int, zekerheid double")
+    names = table(spark, sf, "areas")
+    blocks = areas.tokenised(table(spark, sf, "documents"), table(spark, sf, "area_labels"), names)
+    return areas.rule_table(blocks, areas.mine(blocks, names))
 
 
 _P1 = r"""
