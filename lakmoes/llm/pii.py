@@ -1,10 +1,10 @@
 """Personal values in free text: anchors, then local parsers.
 
-An Aho-Corasick automaton finds the anchors in one pass over a text: at-signs in their spellings, words
-that announce identity numbers, street endings, salutations and titles, and given names. Where digits or
-initials start, a scan for those gives the anchor. At each anchor a deterministic parser walks outwards,
-finds the borders of the value and validates it (check digits, number of digits, form of a name). Where
-values overlap, the earlier kind of KINDS wins.
+An Aho-Corasick automaton finds every anchor in one pass over a text: at-signs in their spellings, schemes of
+mail and telephone addresses, words that announce identity numbers, street endings, salutations and titles,
+given names, digits, and the dots of initials. At each anchor a deterministic parser walks outwards as far as
+the value goes, finds its borders and validates it (check digits, number of digits, form of a name). Nothing
+is searched for over a whole text but the anchors. Where values overlap, the earlier kind of KINDS wins.
 
 The given names are not a list in the code: `given_names` takes them from the corpus, from the places
 where a call name stands in brackets between initials and surname or follows a salutation.
@@ -13,6 +13,7 @@ where a call name stands in brackets between initials and surname or follows a s
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -22,12 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "idnummer", "telefoon", "adres", "naam")
+from lakmoes.plans.stage import stage
+
+KINDS = ("email", "rekening", "idnummer", "telefoon", "adres", "naam")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 MIN_SUPPORT = 2
+#: Given names go to every task; more of them is an error rather than a cut.
+MAX_NAMES = 1_000_000
 
 # Words that announce something.
 AT = ("@", "(at)", "[at]", "{at}", "<at>", "( at )", "[ at ]", " at ", " apenstaart ", "(apenstaart)", "[apenstaart]")
+SCHEMES = ("mailto:", "tel:", "callto:", "sip:")
 ID_CUES = ("paspoort", "rijbewijs", "identiteitsbewijs", "identiteitskaart", "id-kaart", "id kaart", "idkaart", "id-bewijs", "passport", "driving licence", "driver's license", "identity card", "id card", "verblijfsdocument", "documentnummer")
 STREETS = ("straat", "laan", "weg", "dreef", "plein", "steeg", "singel", "kade", "hof", "pad", "plantsoen", "gracht", "park", "baan", "dijk", "markt", "wal", "burg", "hoek", "horst", "kamp", "erf", "veld", "oord", "ring", "boulevard", "allee", "esplanade", "passage", "street", "road", "lane", "avenue")
 FIRST_WORDS = "Anna|Maria|Jan|Johan|Johannes|Willem|Wilhelmina|Pieter|Hendrik|Dokter|Doctor|Dr\\.|Burgemeester|Burg\\.|Meester|Mr\\.|Professor|Prof\\.|Sint|St\\.|Hoge|Lage|Oude|Oud|Nieuwe|Nieuw|Grote|Kleine|Lange|Korte|Eerste|Tweede|Koning|Koningin|Prins|Prinses|Pastoor|Kapitein|Generaal|Admiraal|Graaf|Hertog|Verlengde|Achter|Voor"
@@ -45,19 +51,19 @@ _SP = r"[ \t\xa0]{1,3}"
 _SUR = rf"[{_UP}](?![.])[{_IN}]+(?:-[{_UP}][{_IN}]+)*"
 _PRE = rf"(?:(?:van|von|de|den|der|ter|ten|te|'t|’t|‘t|in|op|aan|uit|la|le|du|di)(?:{_SP}(?:de|den|der|het|'t|’t|‘t|la))?{_SP})"
 _PRE_I = rf"(?i:{_PRE})"
-_INI = rf"(?:[{_UP}][a-z]?\.[ \xa0]?){{1,6}}"
+_INI = rf"(?:[{_UP}][a-z]?\.[ \xa0]?)+"
 _CALL = rf"(?:\([{_UP}][{_IN}]+\){_SP})"
 _GIVEN = rf"[{_UP}][{_IN}-]+"
 
 INITIALS = re.compile(rf"(?<![{_IN}.&/-])(?P<ini>{_INI})[ \t\xa0]{{0,3}}{_CALL}?{_PRE_I}?{_SUR}")
-REVERSED = re.compile(rf"(?<![{_IN}-]){_SUR},{_SP}(?:[{_UP}]\.){{1,6}}(?:{_SP}?\([{_UP}][{_IN}]+\))?(?:{_SP}(?i:(?:van|de|den|der|ter|ten|te|'t|’t)(?:{_SP}(?:de|den|der|het|'t|’t))?)(?![{_IN}]))?")
+REVERSED = re.compile(rf"(?<![{_IN}-]){_SUR},{_SP}(?:[{_UP}]\.)+(?:{_SP}?\([{_UP}][{_IN}]+\))?(?:{_SP}(?i:(?:van|de|den|der|ter|ten|te|'t|’t)(?:{_SP}(?:de|den|der|het|'t|’t))?)(?![{_IN}]))?")
 AFTER_TITLE = re.compile(rf"(?:{_INI}[ \t\xa0]{{0,3}}{_CALL}?{_PRE_I}?{_SUR})|(?:(?:{_GIVEN}{_SP})?{_PRE_I}?{_SUR})")
 GIVEN_SURNAME = re.compile(rf"(?:-[{_UP}][{_IN}]+)?{_SP}{_PRE_I}?(?P<sur>{_SUR})")
 TITLE_GAP = re.compile(rf"\.?{_SP}|\.")
-CALL_NAME = re.compile(rf"(?<![{_IN}.])(?:[{_UP}]\.){{1,6}}\s?\(([{_UP}][{_IN}-]+)\)")
+CALL_NAME = re.compile(rf"(?<![{_IN}.])(?:[{_UP}]\.)+\s?\(([{_UP}][{_IN}-]+)\)")
 SALUTED = re.compile(rf"(?i:\b(?:de heer|dhr\.?|mevrouw|mevr\.|mw\.(?: dr\.)?|mr|mrs|ms)){_SP}([{_UP}][{_IN}]+){_SP}(?:van|de|den|der|ter|ten)(?:{_SP}(?:de|den|der|'t))?{_SP}{_SUR}")
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+\-]+[ \xa0]?$")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOT = r"(?:\.|[ \xa0]?[\[({<][ ]?(?:punt|dot|\.)[ ]?[\])}>][ \xa0]?|[ \xa0](?:punt|dot)[ \xa0])"
 DOMAIN = re.compile(rf"[ \xa0]?(?:[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?{DOT})+[a-z]{{2,24}}(?![a-z0-9])", re.I)
 SPELLED = re.compile(r"[ \xa0](?:punt|dot)[ \xa0]|[\[({<][ ]?(?:punt|dot|\.)", re.I)
@@ -70,19 +76,24 @@ PHONE = re.compile(
     r"|\+(?!31)\d{1,3}(?:[ .\-/()]{0,2}\d){7,12})(?![\d*])(?![.\-/]\d)"
 )
 DATE = re.compile(r"\d\d?[-./ ]\d\d?[-./ ](?:19|20)\d\d|(?:19|20)\d\d[-/.]\d\d[-/.]\d\d")
-NOT_PHONE = re.compile(r"(?:(?i:kenmerk|artikel\w*|tekening\w*|kvk|dossier|zaak|factuur\w*|btw|iban)|NL\d\d ?[A-Z]{4}) ?$")
+#: Words right before a number that make it no telephone or no citizen number: as the end of a word, or anywhere in it.
+NO_PHONE_END, NO_PHONE_IN = ("kenmerk", "kvk", "dossier", "zaak", "btw", "iban"), ("artikel", "tekening", "factuur")
+NO_CITIZEN_END, NO_CITIZEN_IN = ("kenmerk", "kvk"), ("artikel", "tekening", "dossier", "zaak", "factuur", "project", "order", "rekening")
+BANK = re.compile(r"NL\d\d ?[A-Z]{4}$")
+ACCOUNT = re.compile(r"[A-Z]{2}\d{2}(?:[ \xa0]?[A-Z0-9]{4}){2,7}(?:[ \xa0]?[A-Z0-9]{1,3})?(?![A-Za-z0-9*])")
 CITIZEN = re.compile(r"\d(?:[ .]?\d){8}(?![\d*])(?![.\-/]\d)")
-NO_CITIZEN = re.compile(r"(?i)(?:kenmerk|artikel\w*|tekening\w*|kvk|dossier\w*|zaak\w*|factuur\w*|project\w*|order\w*|rekening\w*)[ :#]*$")
 CODE = re.compile(r"(?i:(?:nummer|number|bewijs|kaart)?[ ]?(?:nummer|number|nr\.?|no\.?)?[ ]?(?:is|met nummer|number|:)?[ ]{0,2})(?P<code>[A-Z0-9]{8,10})(?![\w*])")
 HOUSE = re.compile(r"(?:,?[ \xa0]{0,3}(?:huisnummer|nummer|nr\.?|no\.?))?[ \xa0\n]{0,3}\d{1,5}(?![\d.,]?\d)(?:(?:[ ]?[-/][ ]?(?:\d{1,3}|[a-zA-Z])|[ ]?(?:bis|hs|rd)|[ ]?[a-zA-Z])(?![\w]))?(?![\w*])")
 POSTCODE = re.compile(r"[1-9]\d{3}[ \xa0]?[A-Z]{2}(?![\w*])")
 TOWN = re.compile(rf"[ \xa0]{{1,3}}(?:(?:[Dd]en|'s-|Sint)[ -]?)?[{_UP}][{_IN}-]+")
 BEFORE_POSTCODE = re.compile(r"[ \t\xa0]*[,(\n]?[ \t\xa0\n]*(?:NL-)?")
 POST_HOUSE = re.compile(r"\)?[ \xa0,]{0,3}(?:(?:huisnummer|nummer|huisnr\.?|nr\.?)[ \xa0:]{0,2}|(?<=[A-Z])[ \xa0,]{1,2}|-)(?P<nr>\d{1,5})(?:[ ]?(?:bis|hs|[a-zA-Z])(?!\w))?(?![\w*]|[.,:]\d)", re.I)
+FIRST_LENGTH = 1 + max(len(x) for x in FIRST_WORDS.split("|"))
+DAMAGED = frozenset(c for c in map(chr, range(0xA1, 0x2600)) if re.fullmatch(f"[{_IN}]", c) and not c.isalnum())
 STREET_WORD = re.compile(rf"(?:(?:{FIRST_WORDS})[ -]|[{_UP}][\w'’]+-)?[{_UP}][{_IN}]*$")
 STREET_UPPER = re.compile(rf"(?:(?:{FIRST_WORDS.upper()})[ -])?[{_UP}][{_UP}\x80-\U0010ffff'’]*$")
 POST_PAIR = re.compile(r"\d{4}[ \xa0]?[A-Z]{2}$")
-PO_BOX = re.compile(r"(?i)(?:postbus|p\.?o\.? box|antwoordnummer)\s*\d+\s*[,\n]?\s*$")
+PO_BOXES = ("postbus", "po box", "p.o. box", "p.o box", "po. box", "antwoordnummer")
 #: Pairs that follow a year or a time in running text and so are no postcode, if a bare number follows.
 NO_POSTCODE = ("OM", "OP", "IN", "EN", "OF", "TE", "TM", "VA", "IS", "ER", "NA", "AF", "UR", "AM", "PM", "AT", "ON", "TO", "SA", "SD", "SS")
 
@@ -95,7 +106,7 @@ def eleven(digits: str) -> bool:
 @cache
 def automaton(given: tuple[str, ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, keys in (("g", [g.lower() for g in given]), ("s", SALUTATIONS), ("t", STREETS), ("i", ID_CUES), ("e", AT)):
+    for kind, keys in (("g", [g.lower() for g in given]), ("s", SALUTATIONS), ("t", STREETS), ("i", ID_CUES), ("e", AT), ("u", SCHEMES), ("d", "0123456789"), (".", ".")):
         for k in keys:
             a.add_word(k, (kind, len(k)))
     a.make_automaton()
@@ -108,34 +119,70 @@ def lowered(text: str) -> str:
 
 
 def _email(text: str, at: int, end: int) -> tuple[int, int] | None:
-    m = LOCAL.search(text, max(0, at - 80), at)
-    d = DOMAIN.match(text, end)
-    if not m or not d:
-        return None
-    if text[at:end].strip() in ("at", "apenstaart") and not SPELLED.search(d[0]):
-        return None
-    start = m.start()
-    local = text[start:at].lstrip("._%+-")
-    start += len(text[start:at]) - len(local)
-    if not local.strip():
+    stop = at - 1 if at and text[at - 1] in " \xa0" else at
+    start = stop
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    while start < stop and text[start] in "._%+-":
+        start += 1
+    d = DOMAIN.match(text, end) if start < stop else None
+    if not d or text[at:end].strip() in ("at", "apenstaart") and not SPELLED.search(d[0]):
         return None
     return start, d.end()
 
 
+def _word_before(text: str, at: int, blanks: str, most: int) -> str:
+    """The word that ends before `at`, in lower case; up to `most` of the blanks between are set aside, -1 for all."""
+    while at and most and text[at - 1] in blanks:
+        at -= 1
+        most -= 1
+    start = at
+    while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+        start -= 1
+    return text[start:at].lower()
+
+
+def _refused(word: str, ends: tuple[str, ...], inside: tuple[str, ...]) -> bool:
+    return bool(word) and (word.endswith(ends) or any(x in word for x in inside))
+
+
 def _phone(text: str, at: int) -> tuple[int, int] | None:
     m = PHONE.match(text, at)
-    if not m or DATE.match(m[0]) or NOT_PHONE.search(text, max(0, at - 16), at):
+    if not m or DATE.match(m[0]) or _refused(_word_before(text, at, " ", 1), NO_PHONE_END, NO_PHONE_IN):
+        return None
+    if BANK.search(text, max(0, at - 10), at - (at > 0 and text[at - 1] == " ")):
         return None
     return m.span()
 
 
 def _citizen(text: str, at: int) -> tuple[int, int] | None:
     m = CITIZEN.match(text, at)
-    if not m or not eleven(re.sub(r"\D", "", m[0])) or NO_CITIZEN.search(text, max(0, at - 24), at):
+    if not m or not eleven(re.sub(r"\D", "", m[0])) or _refused(_word_before(text, at, " :#", -1), NO_CITIZEN_END, NO_CITIZEN_IN):
         return None
     return m.span()
 
 
+def _account(text: str, at: int) -> tuple[int, int] | None:
+    """An international account number whose check digits stand at `at`: its longest form that passes mod 97."""
+    start = at - 2
+    if start < 0 or not ("A" <= text[start] <= "Z" and "A" <= text[at - 1] <= "Z") or start and (text[start - 1].isalnum() or text[start - 1] == "*"):
+        return None
+    m = ACCOUNT.match(text, start)
+    if not m:
+        return None
+    end = m.end()
+    while end - start >= 15:
+        plain = re.sub(r"[ \xa0]", "", text[start:end])
+        if 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            return start, end
+        # what follows after a blank may be another word
+        cut = max(text.rfind(" ", start, end), text.rfind("\xa0", start, end))
+        if cut < 0:
+            return None
+        end = cut
+    return None
+
+
 def _code(text: str, end: int) -> tuple[int, int] | None:
     while end < len(text) and (text[end].isalpha() or text[end] == "-"):  # the rest of the word that announces it
         end += 1
@@ -151,10 +198,14 @@ def _address(text: str, end: int) -> tuple[int, int] | None:
     h = HOUSE.match(text, end)
     if not h:
         return None
-    w = STREET_WORD.search(text, max(0, end - 48), end) or STREET_UPPER.search(text, max(0, end - 48), end)
+    low = end
+    while low and (text[low - 1].isalnum() or text[low - 1] in "-'’_" or text[low - 1] in DAMAGED):
+        low -= 1
+    low = max(0, low - FIRST_LENGTH)  # room for the longest first word of a street's name
+    w = STREET_WORD.search(text, low, end) or STREET_UPPER.search(text, low, end)
     if not w or w.end() - w.start() < 4:
         return None
-    upper = STREET_UPPER.search(text, max(0, end - 48), end)
+    upper = STREET_UPPER.search(text, low, end)
     start = min(w.start(), upper.start()) if upper else w.start()
     if start > 0 and (text[start - 1].isalnum() or text[start - 1] in "-'’"):
         return None
@@ -171,9 +222,26 @@ def _address(text: str, end: int) -> tuple[int, int] | None:
     return start, stop
 
 
+def _box_before(text: str, at: int) -> bool:
+    """Whether the number of a PO box ends right before `at`."""
+    at = len(text[:at].rstrip()) if at and text[at - 1].isspace() else at
+    if at and text[at - 1] == ",":
+        at -= 1
+    while at and text[at - 1].isspace():
+        at -= 1
+    end = at
+    while at and text[at - 1].isdigit():
+        at -= 1
+    if at == end:
+        return False
+    while at and text[at - 1].isspace():
+        at -= 1
+    return text[max(0, at - 14) : at].lower().endswith(PO_BOXES)
+
+
 def _postcode(text: str, m: re.Match) -> tuple[int, int] | None:
     h = POST_HOUSE.match(text, m.end())
-    if not h or PO_BOX.search(text, max(0, m.start() - 40), m.start()):
+    if not h or _box_before(text, m.start()):
         return None
     if "n" not in h[0].lower() and (m[0][-2:].upper() in NO_POSTCODE or "1900" <= m[0][:4] <= "2099"):
         return None
@@ -201,73 +269,106 @@ def _trim_name(text: str, span: tuple[int, int]) -> tuple[int, int]:
     return start, end
 
 
+_BEFORE_INITIAL = re.compile(rf"[{_IN}.&/-]")
+_IN_NAME = re.compile(rf"[{_IN}-]")
+_CAPITAL = re.compile(f"[{_UP}]")
+
+
+def _reversed(text: str, initial: int) -> re.Match | None:
+    """A name written surname first, whose first initial stands at `initial`."""
+    at = initial
+    while at and text[at - 1] in " \t\xa0":
+        at -= 1
+    if at == initial or not at or text[at - 1] != ",":
+        return None
+    at -= 1
+    while at and _IN_NAME.match(text[at - 1]):
+        at -= 1
+    return REVERSED.match(text, at)
+
+
 def find(text: str | None, given: tuple[str, ...]) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each personal value of a text, by place. A null or empty text has none."""
     if not text:
         return []
     low = lowered(text)
     hits: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    titles: list[int] = []
-    names: list[tuple[int, int]] = []
-    streets: list[int] = []
     n = len(text)
+    called = listed = 0  # where the last telephone number and the last name with initials end
     for last, (kind, size) in automaton(given).iter(low):
         start, end = last - size + 1, last + 1
-        if kind == "e":
+        if kind == "d":
+            if (last and low[last - 1].isdigit()) or last < called:
+                continue
+            if last and "A" <= text[last - 1] <= "Z":
+                if (x := _account(text, last)) is not None:
+                    hits["rekening"].append(x)
+                    called = x[1]
+                    continue
+            for at in (last - 2, last - 1, last):
+                if at >= 0 and (at == last or text[at] in "+(") and NUMBER.match(text, at):
+                    if (x := _phone(text, at)) is not None:
+                        hits["telefoon"].append(x)
+                        called = x[1]
+                    elif (x := _citizen(text, last)) is not None:
+                        hits["idnummer"].append(x)
+                    break
+            if text[last] != "0" and (m := POSTCODE.match(text, last)) and (x := _postcode(text, m)) is not None:
+                hits["adres"].append(x)
+        elif kind == ".":
+            at = last - 1
+            if at >= 0 and text[at].islower() and text[at].isascii():
+                at -= 1
+            if at < listed or at < 0 or not _CAPITAL.match(text[at]):
+                continue
+            if (m := _reversed(text, at)) is not None:
+                hits["naam"].append(m.span())
+            if at and _BEFORE_INITIAL.match(text[at - 1]):
+                continue
+            if m := INITIALS.match(text, at):
+                listed = m.end()
+                if not _company(text, m) and not _no_surname(text, m.span()):
+                    hits["naam"].append(m.span())
+        elif kind == "e":
             if (x := _email(text, start, end)) is not None:
                 hits["email"].append(x)
         elif kind == "t":
             if end < n and text[end] in " \xa0\n,":
-                streets.append(end)
+                if (x := _address(text, end)) is not None:
+                    hits["adres"].append(x)
         elif kind == "i":
             if start == 0 or not low[start - 1].isalnum():
                 if (x := _code(text, end)) is not None:
                     hits["idnummer"].append(x)
+        elif kind == "u":
+            if (x := _phone(text, end)) is not None and end >= called:
+                hits["telefoon"].append(x)
+                called = x[1]
         elif start == 0 or not (low[start - 1].isalnum() or low[start - 1] in "-.@_"):
             if end < n and kind == "s" and (text[end] == "." or text[end] in " \xa0\t" and (low[start:end] in FULL or text[start].isupper() and low[start:end] in ENGLISH)):
-                titles.append(end)
+                if POST_PAIR.search(text, max(0, end - 8), end):
+                    continue
+                g = TITLE_GAP.match(text, end)
+                m = AFTER_TITLE.match(text, g.end()) if g else None
+                if m and not _is_title(m[0]) and not _no_surname(text, m.span()):
+                    hits["naam"].append(m.span())
             elif end < n and kind == "g" and text[end] in " \xa0\t-" and text[start].isupper():
-                names.append((start, end))
-    past = 0
-    for m in NUMBER.finditer(text):
-        at = m.start()
-        if at < past:
-            continue
-        if (x := _phone(text, at)) is not None:
-            hits["telefoon"].append(x)
-            past = x[1]
-        elif (x := _citizen(text, at + (text[at] == "("))) is not None:
-            hits["idnummer"].append(x)
-    for end in streets:
-        if (x := _address(text, end)) is not None:
-            hits["adres"].append(x)
-    for m in POSTCODE.finditer(text):
-        if (x := _postcode(text, m)) is not None:
-            hits["adres"].append(x)
-    for end in titles:
-        if POST_PAIR.search(text, max(0, end - 8), end):
-            continue
-        g = TITLE_GAP.match(text, end)
-        m = AFTER_TITLE.match(text, g.end()) if g else None
-        if m and not _is_title(m[0]) and not _no_surname(text, m.span()):
-            hits["naam"].append(m.span())
-    for m in INITIALS.finditer(text):
-        if not _company(text, m) and not _no_surname(text, m.span()):
-            hits["naam"].append(m.span())
-    hits["naam"] += [m.span() for m in REVERSED.finditer(text)]
-    for start, end in names:
-        m = GIVEN_SURNAME.match(text, end)
-        if m and not _STREET_END.search(m["sur"]) and not _no_surname(text, m.span()):
-            hits["naam"].append((start, m.end()))
+                m = GIVEN_SURNAME.match(text, end)
+                if m and not _STREET_END.search(m["sur"]) and not _no_surname(text, m.span()):
+                    hits["naam"].append((start, m.end()))
     out: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []  # of the values taken so far, which don't overlap
+    ends: list[int] = []
     for kind in KINDS:
         chosen: list[tuple[int, int]] = []
         for s, e in sorted((_trim_name(text, x) if kind == "naam" else x for x in hits[kind]), key=lambda x: (x[0], -x[1])):
-            if any(s < b and a < e for a, b in taken) or (chosen and s < chosen[-1][1]):
+            k = bisect_right(ends, s)
+            if k < len(starts) and starts[k] < e or chosen and s < chosen[-1][1]:
                 continue
             chosen.append((s, e))
-        taken += chosen
+        if chosen:
+            both = sorted([*zip(starts, ends), *chosen])
+            starts, ends = [a for a, _ in both], [b for _, b in both]
         out += [(kind, s, e) for s, e in chosen]
     return sorted(out, key=lambda x: x[1])
 
@@ -288,9 +389,13 @@ def _company(text: str, m: re.Match) -> bool:
 
 def masked(text: str | None, values: list[tuple[str, int, int]]) -> str | None:
     """The text with a typed placeholder for each value."""
-    for kind, start, end in sorted(values, key=lambda v: -v[1]):
-        text = text[:start] + PLACEHOLDER[kind] + text[end:]
-    return text
+    if not values:
+        return text
+    parts, at = [], 0
+    for kind, start, end in sorted(values, key=lambda v: v[1]):
+        parts += [text[at:start], PLACEHOLDER[kind]]
+        at = end
+    return "".join([*parts, text[at:]])
 
 
 def _names_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,10 +415,14 @@ def _names_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def given_names(texts: DataFrame, support: int = MIN_SUPPORT) -> tuple[str, ...]:
     """The given names that the corpus shows at least `support` times in a place only a given name takes.
 
-    A vocabulary, counted over all texts by partial counts in each task; as many names as people bear.
+    A vocabulary, counted over all texts by partial counts in each task; as many names as people bear, and
+    checked to be no more than MAX_NAMES before they go to the driver and the tasks.
     """
     n = texts.select("text").mapInArrow(_names_in, "naam string, n long").groupBy("naam").agg(F.sum("n").alias("n"))
-    return tuple(sorted(r[0] for r in n.where((F.col("n") >= support) & ~F.lower("naam").isin(*SALUTATIONS, *PREFIXES)).select("naam").collect()))
+    known = stage(n.where((F.col("n") >= support) & ~F.lower("naam").isin(*SALUTATIONS, *PREFIXES)).select("naam"), "p4-names")
+    if (count := known.count()) > MAX_NAMES:
+        raise ValueError(f"{count} given names, above {MAX_NAMES}: too many for a table that every task holds; raise the support")
+    return tuple(sorted(r[0] for r in known.collect()))
 
 
 def _finder(given):
@@ -329,9 +438,9 @@ def _finder(given):
     return run
 
 
-def values(texts: DataFrame) -> DataFrame:
-    """(tabel, id, chunk_idx, soort, start_pos, end_pos) of each personal value in texts (tabel, id, chunk_idx, text)."""
-    given = texts.sparkSession.sparkContext.broadcast(given_names(texts))
+def values(texts: DataFrame, given: tuple[str, ...] | None = None) -> DataFrame:
+    """(tabel, id, chunk_idx, soort, start_pos, end_pos) of each personal value in texts (tabel, id, chunk_idx, text). Without given names, those that the texts show."""
+    given = texts.sparkSession.sparkContext.broadcast(given_names(texts) if given is None else given)
     t = texts.where(F.col("text").isNotNull()).select("tabel", "id", "chunk_idx", "text")
     return t.mapInArrow(_finder(given), "tabel string, id long, chunk_idx int, soort string, start_pos int, end_pos int")
 
@@ -349,7 +458,7 @@ def _masker(given):
     return run
 
 
-def mask(texts: DataFrame) -> DataFrame:
+def mask(texts: DataFrame, given: tuple[str, ...] | None = None) -> DataFrame:
     """(tabel, id, chunk_idx, gemaskeerd, n_waarden): each text with a typed placeholder for each value and otherwise unchanged; a null text stays null."""
-    given = texts.sparkSession.sparkContext.broadcast(given_names(texts))
+    given = texts.sparkSession.sparkContext.broadcast(given_names(texts) if given is None else given)
     return texts.select("tabel", "id", "chunk_idx", "text").mapInArrow(_masker(given), "tabel string, id long, chunk_idx int, gemaskeerd string, n_waarden int")

@@ -90,7 +90,8 @@ def p4_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.values(p4_texts(spark, sf)).drop("end_pos")
+    """Account numbers are masked but have no kind of their own among the cases."""
+    return pii.values(p4_texts(spark, sf)).where("soort <> 'rekening'").drop("end_pos")
 
 
 def p4_masked(spark: SparkSession, sf: str) -> DataFrame:

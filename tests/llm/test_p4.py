@@ -32,6 +32,13 @@ CASES = [
     ("Voorbeeld Groen B.V. Wie het weet; Bouwbedrijf Hidde en Zonen", []),
     ("ja*****en en 06********78", []),
     ("", []),
+    ("Zie " + "a" * 100 + "@voorbeeld.nl", [("email", "a" * 100 + "@voorbeeld.nl")]),
+    ("mailto:jan@voorbeeld.nl of tel:0612345678", [("email", "jan@voorbeeld.nl"), ("telefoon", "0612345678")]),
+    ("op NL02ABNA0123456789 of NL02 ABNA 0123 4567 89 graag, niet NL03ABNA0123456789", [("rekening", "NL02ABNA0123456789"), ("rekening", "NL02 ABNA 0123 4567 89")]),
+    ("woont " + "Lange" + "x" * 90 + "straat 12", [("adres", "Lange" + "x" * 90 + "straat 12")]),
+    ("Door A.B.C.D.E.F.G.H. Voorbeeld gezien", [("naam", "A.B.C.D.E.F.G.H. Voorbeeld")]),
+    ("artikelnummer" + "x" * 40 + " 111222333 en dossiernummer:" + " " * 40 + "111222333", []),
+    ("antwoordnummer" + " " * 60 + "12, 8497 MJ 12", []),
 ]
 
 
@@ -64,3 +71,9 @@ def test_tables(spark):
 
 def test_none():
     assert pii.find(None, ()) == [] and pii.masked(None, []) is None and pii.eleven("111222333") and not pii.eleven("000000000")
+
+
+def test_many_values_in_one_text():
+    text = "bel 06-12345678, mail a.b@voorbeeld.nl; " * 5000
+    found = pii.find(text, GIVEN)
+    assert len(found) == 10_000 and pii.masked(text, found) == "bel [TELEFOON], mail [EMAIL]; " * 5000
