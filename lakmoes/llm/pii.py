@@ -27,7 +27,7 @@ from lakmoes.plans.stage import stage
 
 KINDS = ("email", "rekening", "idnummer", "telefoon", "adres", "naam")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
-MIN_SUPPORT = 2
+MIN_SUPPORT = 1
 #: Given names go to every task; more of them is an error rather than a cut.
 MAX_NAMES = 1_000_000
 
