@@ -1,21 +1,24 @@
 """Lines that one site repeats over its documents: distributed PrefixSpan over line identifiers.
 
 A document is the sequence of its lines, a line is known by the hash of its letters. Per source the miner
-finds the frequent single lines by a count with a partial aggregate, keeps of each document only those
-(its projected database), and grows frequent sequences of lines that follow each other one line a round,
-each round counting distinct documents again. Every line of every occurrence of a frequent sequence is a
-repeated line; as every part of a frequent sequence is frequent, the longest ones only tell what belongs
-together and the single lines settle what goes.
+counts the frequent single lines, keeps of each document only those, and grows frequent sequences from each by
+what follows in its projected database: the next repeated lines after an occurrence, other lines and up to
+`gap` repeated ones between them. Lines that stand in the very same documents, one after the other in each of
+them, are one step of a sequence, however many they are: a notice of a thousand lines is grown in one round,
+and only its closed form is kept. Every line of every occurrence of a frequent sequence, single lines
+included, is a repeated line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakmoes.plans.stage import small, spread, stage
 
 MIN_LETTERS, MIN_ROWS, MIN_SHARE = 15, 3, 0.15
+#: Steps of a sequence, and repeated lines that may be skipped between two of them. Neither changes which lines are repeated.
+MAX_LENGTH, GAP = 4, 8
 
 
 def line_key(line: Column) -> Column:
@@ -39,62 +42,86 @@ def source_sizes(seqs: DataFrame, min_rows: int, min_share: float) -> DataFrame:
     return n.select("tabel", "source", F.greatest(F.lit(min_rows), F.ceil(F.col("n") * F.lit(min_share).cast("decimal(9,6)"))).cast("bigint").alias("least"))
 
 
+def _of(a: str, b: str) -> Column:
+    return (F.col(f"{a}.tabel") == F.col(f"{b}.tabel")) & F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+
+
 def _frequent(hits: DataFrame, sizes: DataFrame, *more: Column) -> DataFrame:
     """Of (tabel, source, p, ...), one row per document and pattern, the patterns with enough documents."""
     counts = hits.groupBy("tabel", "source", "p").agg(F.count("*").alias("support"), *more)
-    s = sizes.select(F.col("tabel").alias("t2"), F.col("source").alias("s2"), "least")
-    return counts.join(small(s), (F.col("tabel") == F.col("t2")) & F.col("source").eqNullSafe(F.col("s2"))).where("support >= least").drop("t2", "s2", "least")
+    return counts.alias("c").join(small(sizes).alias("z"), _of("c", "z")).where("support >= least").select("c.*")
 
 
-def prefixspan(seqs: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame, int]:
-    """Frequent sequences of consecutive lines, per source.
+def steps(seqs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(tabel, source, id, at, p, nrs): the frequent lines of each document as steps of sequences, in order.
 
-    seqs: (tabel, source, id, seq), staged. Gives (patterns, marks, longest): patterns (tabel, source, p,
-    length, support, lines array<h>) and marks (tabel, id, nr, length): each line of each occurrence, with
-    the length of the longest frequent sequence that it starts. Mining ends by itself, when no sequence is frequent.
-    Hot sources and hot lines: counts are combined before the shuffle, and documents are matched with the
-    frequent lines of their source through one array per source, which has at most (lines a row) / min_share
-    entries; a source with a third of all rows is never gathered.
+    Lines with the same documents that follow each other the same way in all of them are one step; nrs has
+    their numbers. A hot line has a row per document here and is never gathered; the join with the frequent
+    lines is a broadcast only below a counted size.
     """
-    sizes = stage(source_sizes(seqs, min_rows, min_share), "p1-sizes")
+    line = seqs.select("tabel", "source", "id", F.explode("seq").alias("s")).select("tabel", "source", "id", F.col("s.nr").alias("nr"), F.col("s.h").alias("p"))
     one = seqs.select("tabel", "source", "id", F.explode(F.array_distinct(F.col("seq.h"))).alias("p"))
-    level = stage(_frequent(one, sizes).withColumn("length", F.lit(1)).withColumn("lines", F.array("p")), "p1-level")
-    patterns = level
-
-    per_source = level.groupBy(F.col("tabel").alias("t2"), F.col("source").alias("s2")).agg(F.collect_set("p").alias("frequent"))
-    width = level.count()
-    side = F.broadcast(per_source) if width * 24 < (8 << 20) else per_source
-    kept = F.filter(F.transform(F.col("seq"), lambda s, i: F.struct(s.nr.alias("nr"), s.h.alias("h"), i.alias("at"))), lambda s: F.array_contains("frequent", s.h))
-    projected = stage(
-        seqs.join(side, (F.col("tabel") == F.col("t2")) & F.col("source").eqNullSafe(F.col("s2"))).select("tabel", "source", "id", kept.alias("seq")).where(F.size("seq") > 0),
-        "p1-projected",
-    )
-    marks = projected.select("tabel", "id", F.explode("seq").alias("s")).select("tabel", "id", F.col("s.nr").alias("nr"), F.lit(1).alias("length"))
-    # the projected database of every pattern of the level: where in the document it ends
-    open_ = projected.select("tabel", "source", "id", "seq", F.posexplode("seq").alias("end", "s")).select("tabel", "source", "id", "seq", "end", F.col("end").alias("start"), F.col("s.h").alias("p"))
-    length = 1
-    while True:
-        step = F.try_element_at("seq", F.col("end") + 2)
-        grown = open_.where(step.isNotNull() & (step["at"] == F.element_at("seq", F.col("end") + 1)["at"] + 1))
-        grown = stage(
-            grown.select("tabel", "source", "id", "seq", (F.col("end") + 1).alias("end"), "start", F.xxhash64("p", step["h"]).alias("p")), f"p1-grown-{length}"
-        )
-        docs = grown.select("tabel", "source", "id", "p", F.transform(F.slice("seq", F.col("start") + 1, F.lit(length + 1)), lambda s: s.h).alias("lines"))
-        docs = docs.groupBy("tabel", "source", "id", "p").agg(F.first("lines").alias("lines"))
-        level = stage(_frequent(docs, sizes, F.first("lines").alias("lines")).withColumn("length", F.lit(length + 1)), f"p1-level-{length}")
+    # which documents a line stands in, as two sums that do not depend on their order
+    level = stage(_frequent(one, sizes, F.bit_xor(F.xxhash64("id")).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("f2")), "p1-lines")
+    own = Window.partitionBy("tabel", "source", "id").orderBy("nr")
+    hits = line.alias("l").join(small(level).alias("v"), _of("l", "v") & (F.col("l.p") == F.col("v.p"))).select("l.*", "v.support", "v.f1", "v.f2")
+    new = F.coalesce((F.lag("f1").over(own) != F.col("f1")) | (F.lag("f2").over(own) != F.col("f2")), F.lit(True))
+    runs = hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(own))
+    runs = runs.groupBy("tabel", "source", "id", "run").agg(F.array_sort(F.collect_list(F.struct("nr", "p"))).alias("ls"), F.first("support").alias("support"))
+    runs = stage(runs.withColumn("p", F.xxhash64(F.col("ls.p"))), "p1-runs")
+    whole = runs.select("tabel", "source", "id", "p", "support").distinct().groupBy("tabel", "source", "p").agg(F.count("*").alias("n"), F.first("support").alias("support"))
+    whole = stage(whole.where("n = support").select("tabel", "source", "p"), "p1-whole")
+    marked = runs.alias("r").join(small(whole).alias("w"), _of("r", "w") & (F.col("r.p") == F.col("w.p")), "left").select("r.*", F.col("w.p").isNotNull().alias("as_one"))
+    alone = F.transform("ls", lambda s: F.named_struct(F.lit("at"), s["nr"], F.lit("p"), F.xxhash64(F.array(s["p"])), F.lit("nrs"), F.array(s["nr"])))
+    together = F.array(F.named_struct(F.lit("at"), F.col("ls.nr")[0], F.lit("p"), F.col("p"), F.lit("nrs"), F.col("ls.nr")))
+    return marked.select("tabel", "source", "id", F.explode(F.when(F.col("as_one"), together).otherwise(alone)).alias("t")).select("tabel", "source", "id", "t.*")
+
+
+def prefixspan(seqs: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE, max_length: int = MAX_LENGTH, gap: int = GAP) -> tuple[DataFrame, DataFrame]:
+    """(patterns, occurrences) of the frequent sequences, per source; seqs (tabel, source, id, seq), staged.
+
+    patterns (tabel, source, p, stappen, length, support) has those that no frequent sequence with the same
+    support goes on; stappen counts steps, length lines. occurrences (tabel, id, nrs, length) has of each
+    document each occurrence of each frequent sequence, by its line numbers. A round for each step up to
+    max_length; an open occurrence carries only as many steps as later rounds can reach.
+    """
+    sizes = stage(source_sizes(seqs, min_rows, min_share), "p1-sizes")
+    step = stage(steps(seqs, sizes), "p1-steps")
+    keys = ("tabel", "source", "id")
+    order = Window.partitionBy(*keys).orderBy("at").rowsBetween(1, (gap + 1) * (max_length - 1))
+    open_ = step.select(*keys, "p", "nrs", F.collect_list(F.struct("p", "nrs")).over(order).alias("tail")) if max_length > 1 else step
+    level = _frequent(step.select(*keys, "p").distinct(), sizes).withColumn("voor", F.lit(None).cast("bigint"))
+    size = F.size("nrs")
+    level = stage(level.join(step.groupBy(F.col("tabel").alias("t2"), F.col("p").alias("p2")).agg(F.min(size).alias("length")), (F.col("tabel") == F.col("t2")) & (F.col("p") == F.col("p2"))).drop("t2", "p2"), "p1-level-1")
+    levels, found = [level], step.select("tabel", "id", "nrs", size.alias("length"))
+    for k in range(2, max_length + 1):
+        near = F.slice("tail", F.lit(1), F.lit(gap + 1))
+        grown = open_.select(*keys, F.col("p").alias("voor"), "nrs", "tail", F.posexplode(near).alias("j", "t"))
+        rest = F.slice("tail", F.col("j") + 2, F.lit((gap + 1) * (max_length - k))) if k < max_length else F.array().cast("array<struct<p:bigint,nrs:array<int>>>")
+        grown = stage(grown.select(*keys, "voor", F.xxhash64("voor", F.col("t.p")).alias("p"), F.concat("nrs", "t.nrs").alias("nrs"), rest.alias("tail")), f"p1-grown-{k}")
+        docs = grown.groupBy(*keys, "p").agg(F.min("voor").alias("voor"), F.min(size).alias("length"))
+        level = stage(_frequent(docs, sizes, F.min("voor").alias("voor"), F.min("length").alias("length")), f"p1-level-{k}")
         if level.isEmpty():
-            return patterns, marks, length
-        length += 1
-        patterns = patterns.unionByName(level)
-        keys = small(level.select(F.col("tabel").alias("t2"), F.col("source").alias("s2"), F.col("p").alias("p2")))
-        open_ = grown.join(keys, (F.col("tabel") == F.col("t2")) & F.col("source").eqNullSafe(F.col("s2")) & (F.col("p") == F.col("p2")), "left_semi")
-        marks = marks.unionByName(open_.select("tabel", "id", F.element_at("seq", F.col("start") + 1)["nr"].alias("nr"), F.lit(length).alias("length")))
+            break
+        levels.append(level)
+        known = small(level.select("tabel", "source", "p")).alias("v")
+        open_ = grown.alias("g").join(known, _of("g", "v") & (F.col("g.p") == F.col("v.p")), "left_semi")
+        found = found.unionByName(open_.select("tabel", "id", "nrs", size.alias("length")))
+    out = None
+    for k, level in enumerate(levels):
+        closed = level
+        if k + 1 < len(levels):
+            longer = levels[k + 1].select("tabel", "source", F.col("voor").alias("p"), "support").distinct().alias("v")
+            closed = level.alias("g").join(longer, _of("g", "v") & (F.col("g.p") == F.col("v.p")) & (F.col("g.support") == F.col("v.support")), "left_anti")
+        closed = closed.select("tabel", "source", "p", F.lit(k + 1).alias("stappen"), "length", "support")
+        out = closed if out is None else out.unionByName(closed)
+    return out, found
 
 
 def repeated_lines(seqs: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(tabel, id, regel_nr, blok): each occurrence of a repeated line, with the length of the longest repeated run of lines that starts there."""
-    _, marks, _ = prefixspan(stage(seqs, "p1-seqs"), min_rows, min_share)
-    return marks.groupBy("tabel", "id", F.col("nr").alias("regel_nr")).agg(F.max("length").alias("blok"))
+    """(tabel, id, regel_nr, blok): each line of each occurrence of a frequent sequence, with the number of lines of the longest one it belongs to."""
+    _, found = prefixspan(stage(seqs, "p1-seqs"), min_rows, min_share)
+    return found.select("tabel", "id", F.explode("nrs").alias("regel_nr"), "length").groupBy("tabel", "id", "regel_nr").agg(F.max("length").alias("blok"))
 
 
 def remove_lines(docs: DataFrame, found: DataFrame, id_col: str, text_col: str = "text", tabel: Column | None = None) -> DataFrame:

@@ -27,18 +27,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    patterns, _, _ = lines.prefixspan(stage(p1_sequences(spark, sf), "p1-seqs"))
-    return patterns.select("tabel", "source", "length", "support", F.hex(F.col("p")).alias("patroon"))
+    patterns, _ = lines.prefixspan(stage(p1_sequences(spark, sf), "p1-seqs"))
+    return patterns.select("tabel", "source", "stappen", "length", "support", F.hex(F.col("p")).alias("patroon"))
 
 
 def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    found = lines.repeated_lines(lines.line_sequences(docs, "documents", "doc_id", "source"))
-    return lines.remove_lines(docs.select("doc_id", "text"), found, "doc_id").select("doc_id", F.col("n_weg").cast("bigint").alias("n_weg"), F.sha2("schoon", 256).alias("schoon_sha256"))
-
-
-def p1_clean_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The cleaned texts of both tables; p1_clean has those of documents."""
+    """The cleaned texts of both tables, by digest."""
     docs, bron = table(spark, sf, "documents"), table(spark, sf, "bron_document")
     texts = docs.select(F.lit("documents").alias("tabel"), F.col("doc_id").alias("id"), "text").unionByName(bron.select(F.lit("bron_document").alias("tabel"), F.col("rij_id").alias("id"), "text"))
     out = lines.remove_lines(texts, lines.repeated_lines(p1_sequences(spark, sf)), "id", tabel=F.col("tabel"))
@@ -162,14 +156,11 @@ d AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT doc_id, w
 i AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p1_clean_all": p1_clean_all, "p2_found": p2_found, "p2_last_batch": p2_last_batch, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p2_last_batch": p2_last_batch, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules}
 
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT k.tabel, k.id, CAST(regel_nr AS INTEGER) AS regel_nr FROM k JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k",
-    "p1_clean": _P1 + """, d AS (SELECT l.id, list(l.regel ORDER BY l.regel_nr) FILTER (WHERE r.k IS NULL) AS over_, count(r.k) AS n_weg FROM l JOIN k ON l.tabel = k.tabel AND l.id = k.id AND l.regel_nr = k.regel_nr
-LEFT JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k WHERE l.tabel = 'documents' GROUP BY l.id)
-SELECT id AS doc_id, n_weg, sha256(coalesce(array_to_string(over_, chr(10)), '')) AS schoon_sha256 FROM d""",
-    "p1_clean_all": _P1 + """, d AS (SELECT l.tabel, l.id, list(l.regel ORDER BY l.regel_nr) FILTER (WHERE r.k IS NULL) AS over_, count(r.k) AS n_weg FROM l JOIN k ON l.tabel = k.tabel AND l.id = k.id AND l.regel_nr = k.regel_nr
+    "p1_clean": _P1 + """, d AS (SELECT l.tabel, l.id, list(l.regel ORDER BY l.regel_nr) FILTER (WHERE r.k IS NULL) AS over_, count(r.k) AS n_weg FROM l JOIN k ON l.tabel = k.tabel AND l.id = k.id AND l.regel_nr = k.regel_nr
 LEFT JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k GROUP BY l.tabel, l.id),
 a AS (SELECT 'documents' AS tabel, doc_id AS id FROM documents UNION ALL SELECT 'bron_document', rij_id FROM bron_document)
 SELECT a.tabel, a.id, coalesce(n_weg, 0) AS n_weg, CASE WHEN d.id IS NOT NULL THEN sha256(coalesce(array_to_string(over_, chr(10)), '')) END AS schoon_sha256 FROM a LEFT JOIN d ON a.tabel = d.tabel AND a.id = d.id""",
