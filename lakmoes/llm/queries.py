@@ -104,6 +104,21 @@ def p6_room(spark: SparkSession, sf: str) -> DataFrame:
     return packing.room_left(p6_pack(spark, sf))
 
 
+def p6_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Packing under limits that bind, held against what has to hold: at most six documents, and half the attention of one text of full length. Documents above the capacity of attention are no items here."""
+    cap = F.col("capaciteit")
+    bins = table(spark, sf, "bakken").select("capaciteit", F.lit(6).alias("max_documenten"), (cap.cast("double") * cap / 2).alias("max_aandacht"))
+    sized = packing.sizes(table(spark, sf, "documents"), bins)
+    sized = sized.where((F.col("tokens") > cap) | (F.col("tokens").cast("double") * F.col("tokens") <= F.col("max_aandacht")))
+    return packing.held(packing.pack(sized), sized)
+
+
+def p6_held(spark: SparkSession, sf: str) -> DataFrame:
+    """The packing of p6_pack, held against what has to hold."""
+    sized = packing.sizes(table(spark, sf, "documents"), table(spark, sf, "bakken"))
+    return packing.held(packing.pack(sized), sized)
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
@@ -156,7 +171,9 @@ d AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT doc_id, w
 i AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p2_last_batch": p2_last_batch, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules}
+_P6 = "SELECT CAST(capaciteit AS BIGINT) AS capaciteit, count(*) AS documenten, CAST(sum(t) AS BIGINT) AS tokens, count(*) FILTER (WHERE t <= capaciteit) AS heel, 0 AS gaten, 0 AS te_vol, 0 AS te_veel, 0 AS te_duur FROM (SELECT octet_length(encode(text)) + 1 AS t FROM documents WHERE text IS NOT NULL), bakken WHERE {where} GROUP BY capaciteit"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p2_last_batch": p2_last_batch, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p6_limits": p6_limits, "p6_held": p6_held, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules}
 
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT k.tabel, k.id, CAST(regel_nr AS INTEGER) AS regel_nr FROM k JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k",
@@ -165,5 +182,7 @@ LEFT JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k
 a AS (SELECT 'documents' AS tabel, doc_id AS id FROM documents UNION ALL SELECT 'bron_document', rij_id FROM bron_document)
 SELECT a.tabel, a.id, coalesce(n_weg, 0) AS n_weg, CASE WHEN d.id IS NOT NULL THEN sha256(coalesce(array_to_string(over_, chr(10)), '')) END AS schoon_sha256 FROM a LEFT JOIN d ON a.tabel = d.tabel AND a.id = d.id""",
     "p6_found": "SELECT CAST(capaciteit AS BIGINT) AS capaciteit, doc_id FROM documents, bakken WHERE octet_length(encode(text)) + 1 > capaciteit",
+    "p6_held": _P6.format(where="1 = 1"),
+    "p6_limits": _P6.format(where="t > capaciteit OR CAST(t AS DOUBLE) * t <= CAST(capaciteit AS DOUBLE) * capaciteit / 2"),
     "p7_found": _P7 + "SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.w = i.w",
 }
