@@ -1,19 +1,22 @@
-"""New rows against all that was accepted before: a segment index with bounded distance.
+"""New rows against all that was accepted before: a segment index with bounded edit distance.
 
 Rows are taken by rising id. A row repeats an accepted row with a smaller id if both have the same digest,
 or if it has no digest and both have the same address, or if the word sequences of both texts agree. A row
 that repeats none is accepted.
 
-Texts are compared as sorted strings over the alphabet of their five-word sequences. Two such strings of
-n and m signs agree if their distance under insertion and deletion is at most (1 - t) / (1 + t) * (n + m);
-then, cut into one segment more than that distance allows, at least one segment is whole in both. With
-segments of one sign each, in an order that puts the rarest sign of the corpus first, it is enough to store
-a fixed number of first segments by sign, length and position (`postings`), to probe with those of the new
-texts, to filter by length, position and the distance of two bitmaps, which is never above the true one,
-and to verify what is left (`similar_pairs`). New rows append to the same tables.
+Texts are compared as strings over the alphabet of their five-word sequences, each sequence once, in a fixed
+order: texts whose passages were moved are the same string. Two such strings of n and m signs agree if their
+edit distance under insertion and deletion is at most (1 - t) / (1 + t) * (n + m); then, of one segment more
+than the distance allows, at least one is whole in both. The segments are one sign long, and the order puts
+the rarest sign of the corpus first, so that the first ones, a number fixed by the length, are enough: they are
+stored by sign, length and position, probed with those of a new batch, filtered by length, position and the
+distance of two bitmaps, which is never above the true one, and the edit distance of what is left is computed.
 
-How rare a sign is gets counted over all texts, exactly. The counting is done on blocks: a block of texts
-sends its distinct signs, packed, to ranges of signs, and gets back one byte for each.
+`SegmentIndex.append` checks a batch against what was accepted and appends what is new. Of the history it
+looks up only the keys, classes and postings of the batch; nothing of it is grouped or normalised again.
+
+How rare a sign is gets counted over all texts of the first batch, exactly. The counting is done on blocks: a
+block of texts sends its distinct signs, packed, to ranges of signs, and gets back one byte for each.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lakmoes.functions.urls import normal_digest, normal_url
 from lakmoes.llm import scan
-from lakmoes.plans.stage import small, spread, stage
+from lakmoes.plans.stage import small, spread, stage, stage_path
 
 WORDS = 5
 SIMILAR = (7, 10)
@@ -106,13 +109,6 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], names=["file_id", "class1", "class2", "n", "sig"])
 
 
-def members(segments: DataFrame) -> DataFrame:
-    """(file_id, klasse, n, sig): each text with at least one sign; klasse is the smallest id with the same set of signs."""
-    m = stage(segments.select("ids", "sizes", "class1", "class2", "sigs").mapInArrow(_members, "file_id long, class1 long, class2 long, n int, sig array<long>"), "p2-members")
-    first = m.groupBy("class1", "class2", "n").agg(F.min("file_id").alias("klasse"))
-    return stage(m.join(first, ["class1", "class2", "n"]).select("file_id", "klasse", "n", "sig"), "p2-classes")
-
-
 def _spread(bits: int):
     """Each block's distinct signs, cut into 2 ** bits ranges."""
 
@@ -141,18 +137,23 @@ def rarity_code(count: np.ndarray) -> np.ndarray:
 
 
 def _tally(table: pa.Table) -> pa.Table:
-    """The code of each sign of a range, for each block that sent it, in the order in which it sent them."""
+    """The code of each sign of a range, for each block that sent it, in the order in which it sent them; and, in a row without block, the signs that stand in more than one text, with their codes."""
     signs = [_unpack(x) for x in table.column("signs").to_pylist()]
     counts = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint32) for x in table.column("counts").to_pylist()])
-    _, inverse = np.unique(np.concatenate(signs), return_inverse=True)
-    code = rarity_code(np.bincount(inverse, weights=counts))[inverse]
+    uniq, inverse = np.unique(np.concatenate(signs), return_inverse=True)
+    n = np.bincount(inverse, weights=counts)
+    own = rarity_code(n)
+    code = own[inverse]
     edge = np.cumsum([0, *map(len, signs)])
     blobs = [zstandard.compress(code[a:b].tobytes(), 1) for a, b in zip(edge[:-1], edge[1:])]
-    return pa.table({"seg": table.column("seg"), "bereik": table.column("bereik"), "codes": pa.array(blobs, pa.binary())})
+    seg, at = table.column("seg").to_pylist(), table.column("bereik")[0].as_py()
+    on = n > 1
+    known = [None] * len(seg) + [_pack(uniq[on])]
+    return pa.table({"seg": pa.array([*seg, None], pa.int64()), "bereik": pa.array([at] * len(known), pa.int32()), "codes": pa.array([*blobs, zstandard.compress(own[on].tobytes(), 1)], pa.binary()), "bekend": pa.array(known, pa.binary())})
 
 
-def _prefixes(num: int, den: int, lone: bool = False):
-    """The first segments of each text and one more (marked), by rarity; with lone=True also signs that no other text has."""
+def _prefixes(num: int, den: int):
+    """The first segments of each text and one more (marked), by rarity, also those that no other text has so far."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -171,7 +172,7 @@ def _prefixes(num: int, den: int, lone: bool = False):
             idx, doc = idx[order], doc[order]
             place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
             first = n - -(-n * num // den) + 1
-            on = (place <= first[doc]) & ((codes[idx] > 1) | lone)
+            on = place <= first[doc]
             ids = np.frombuffer(r["ids"], np.int64)
             out.append(pa.table({"sign": uniq[idx[on]].astype(np.int64), "file_id": ids[doc[on]], "n": n[doc[on]].astype(np.int32), "pos": place[on].astype(np.int32), "extra": (place == first[doc])[on], "bekend": codes[idx[on]] > 1}))
         types = (("sign", pa.int64()), ("file_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("extra", pa.bool_()), ("bekend", pa.bool_()))
@@ -186,14 +187,6 @@ def _range_bits(segments: DataFrame) -> int:
     return min(20, max(6, int(np.ceil(np.log2(max(1, total / 3) / RANGE_SIGNS + 1)))))
 
 
-def postings(segments: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(sign, file_id, n, pos, extra): of each text the signs in its first segments that stand in another text too, and the one after them; bekend: the order of rarity knows the sign."""
-    sent = segments.select("seg", "uniq", "idx").mapInArrow(_spread(_range_bits(segments)), "bereik int, seg long, signs binary, counts binary")
-    codes = sent.groupBy("bereik").applyInArrow(_tally, "seg long, bereik int, codes binary")
-    both = segments.select("seg", "ids", "sizes", "uniq", "idx").groupBy("seg").cogroup(codes.groupBy("seg"))
-    return both.applyInArrow(_prefixes(*similar), _POSTING)
-
-
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("file_id").to_pylist()
@@ -247,53 +240,29 @@ def candidates(p: DataFrame, similar: tuple[int, int], hot: int = HOT, new: Data
     return pairs.distinct()
 
 
-def similar_pairs(docs: DataFrame, posts: DataFrame, mem: DataFrame, similar: tuple[int, int] = SIMILAR, new: DataFrame | None = None, hot: int = HOT) -> DataFrame:
-    """(a, b): classes a < b whose texts agree. With `new` (file_id), only pairs of which one is new.
+def edit_distance(a: Column, b: Column) -> Column:
+    """The edit distance under insertion and deletion of two strings of distinct signs in one order: what stands in only one of them."""
+    return F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b))
+
 
-    Pairs are formed between class representatives that share a sign of their first segments, filtered by the
-    distance of their bitmaps, and verified on the texts.
+def similar_pairs(docs: DataFrame, posts: DataFrame, reps: DataFrame, similar: tuple[int, int] = SIMILAR, new: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """(a, b): texts a < b of reps (file_id, n, sig) that agree. With `new` (file_id), only pairs of which one is new.
+
+    Pairs are formed between texts that share a sign of their first segments, filtered by the distance of their
+    bitmaps, and verified by the edit distance of their whole strings.
     """
     num, den = similar
-    reps = mem.where("file_id = klasse")
-    p = posts.join(small(reps.select("file_id")), "file_id", "left_semi")
-    if new is None:
-        p = stage(p, "p2-postings")
-    pairs = stage(candidates(p, similar, hot, new), "p2-pairs")
+    # (n + m) (1 - t) / (1 + t) bounds the edit distance of agreeing texts, and that of the bitmaps
+    within = lambda d, n, m: d * (den + num) <= (n + m) * (den - num)
+    pairs = stage(candidates(posts, similar, hot, new), "p2-pairs")
     s = reps.select("file_id", "n", "sig")
     pairs = pairs.join(s.select(F.col("file_id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(s.select(F.col("file_id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-    # agreeing texts differ in at most (1 - t) / (1 + t) * (n + m) signs, and the bitmaps in no more
-    close = stage(pairs.where(_distance(F.col("sa"), F.col("sb")) * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b"), "p2-close")
+    close = stage(pairs.where(within(_distance(F.col("sa"), F.col("sb")), F.col("na"), F.col("nb"))).select("a", "b"), "p2-close")
     ids = close.select(F.col("a").alias("file_id")).union(close.select("b")).distinct()
     texts = docs.where(F.col("text").isNotNull()).select(F.col("file_id").cast("bigint").alias("file_id"), "text").join(small(stage(ids, "p2-ids")), "file_id", "left_semi")
     signs = stage(texts.mapInArrow(_exact, "file_id long, signs array<long>"), "p2-signs")
     both = close.join(signs.select(F.col("file_id").alias("a"), F.col("signs").alias("ta")), "a").join(signs.select(F.col("file_id").alias("b"), F.col("signs").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(common * den >= (F.size("ta") + F.size("tb") - common) * num).select("a", "b").distinct()
-
-
-def _groups(files: DataFrame, mem: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gives, takes), both (file_id, soort, groep): the groups in which a row may be the repeated one, and those in which it may repeat.
-
-    Only groups of at least two rows; a group is known by its smallest id.
-    """
-    f = stage(files.select(F.col("file_id").cast("bigint").alias("file_id"), normal_digest(F.col("sha256")).alias("digest"), normal_url(F.col("url")).alias("adres")), "p2-files")
-
-    def grouped(col: str, kind: str, takes: Column) -> DataFrame:
-        g = f.where(F.col(col).isNotNull()).groupBy(col).agg(F.min("file_id").alias("groep"), F.count("*").alias("m")).where("m > 1").drop("m")
-        return f.join(g, col).select("file_id", F.lit(kind).alias("soort"), "groep", takes.alias("neemt"))
-
-    d = grouped("digest", "d", F.lit(True))
-    a = grouped("adres", "a", F.col("digest").isNull())
-    both = stage(d.unionByName(a), "p2-groups")
-    size = mem.groupBy("klasse").agg(F.count("*").alias("m"))
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("klasse", "buur")
-    t = mem.select("file_id", "klasse").join(f.select("file_id"), "file_id", "left_semi")
-    live = size.where("m > 1").select("klasse").union(edges.select("klasse")).distinct()
-    t = stage(t.join(live, "klasse", "left_semi"), "p2-texts")
-    gives = both.select("file_id", "soort", "groep").union(t.select("file_id", F.lit("t").alias("soort"), F.col("klasse").alias("groep")))
-    near = t.join(edges, "klasse").select("file_id", F.lit("t").alias("soort"), F.col("buur").alias("groep"))
-    takes = both.where("neemt").select("file_id", "soort", "groep").union(t.select("file_id", F.lit("t").alias("soort"), F.col("klasse").alias("groep"))).union(near)
-    return stage(gives, "p2-gives"), stage(takes, "p2-takes")
+    return both.where(within(edit_distance(F.col("ta"), F.col("tb")), F.size("ta"), F.size("tb"))).select("a", "b").distinct()
 
 
 def decide(gives: DataFrame, takes: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
@@ -330,30 +299,6 @@ def one_text(docs: DataFrame) -> DataFrame:
     return stage(one, "p2-one-text")
 
 
-def repeats(files: DataFrame, docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(file_id_1, file_id_2) over all rows of files (file_id, url, sha256), with the texts of docs (file_id, text).
-
-    Rows delivered twice under one file_id count once, null urls match nothing, a text of fewer than five words
-    agrees with none, of several texts of a file the longest counts.
-    """
-    files = files.select("file_id", "url", "sha256").where(F.col("file_id").isNotNull())
-    docs = one_text(docs)
-    segments = blocks(docs)
-    mem = members(segments)
-    pairs = stage(similar_pairs(docs, postings(segments, similar), mem, similar), "p2-similar")
-    return decide(*_groups(files, mem, pairs))
-
-
-def _rarities(table: pa.Table) -> pa.Table:
-    """The signs of a range that stand in more than one text, with their codes."""
-    signs = [_unpack(x) for x in table.column("signs").to_pylist()]
-    counts = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint32) for x in table.column("counts").to_pylist()])
-    uniq, inverse = np.unique(np.concatenate(signs), return_inverse=True)
-    n = np.bincount(inverse, weights=counts)
-    on = n > 1
-    return pa.table({"bereik": table.column("bereik").slice(0, 1), "bekend": pa.array([_pack(uniq[on])], pa.binary()), "codes": pa.array([zstandard.compress(rarity_code(n[on]).tobytes(), 1)], pa.binary())})
-
-
 def _looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
     """The code of each sign that a block sent, as the index has it; 0 for a sign it doesn't know."""
     known = _unpack(right.column("bekend")[0].as_py()) if right.num_rows else np.zeros(0, np.uint64)
@@ -369,11 +314,16 @@ def _looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"seg": left.column("seg"), "bereik": left.column("bereik"), "codes": pa.array(blobs, pa.binary())})
 
 
+_MEMBER = "file_id long, class1 long, class2 long, n int, sig array<long>"
+_ORDER = "bereik int, bekend binary, codes binary"
+_CODES = "seg long, bereik int, codes binary, bekend binary"
+
+
 class SegmentIndex:
-    """What was accepted so far, under a folder: rows (file_id, sha256, url), members (classes and bitmaps of
-    texts), postings, and the order of rarity, which is settled by the first batch and then stays, so that old
-    postings keep their places. `append` checks a batch against it and adds what is new; of the history it
-    reads these tables, and of texts only those of the pairs to verify.
+    """What was accepted so far, under a folder, one part per batch: `keys` (soort, sleutel, file_id) of digests and
+    addresses, `classes` (texts with their fingerprint and bitmap), `postings` by sign, and the order of rarity, which
+    is settled by the first batch and then stays, so that old postings keep their places; signs it doesn't know count
+    as rarest. A batch counts once its keys, which are written last, are there.
     """
 
     def __init__(self, spark, root: str, similar: tuple[int, int] = SIMILAR) -> None:
@@ -382,49 +332,130 @@ class SegmentIndex:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _parts(self, name: str) -> int:
+    def _parts(self, name: str) -> list[str]:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(self._path(name))
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return len(fs.listStatus(p)) if fs.exists(p) else 0
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if not self._parts(name):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self._path(name))
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _read(self, name: str, schema: str, batches: int) -> DataFrame:
+        paths = [self._path(f"{name}/batch-{k}") for k in range(batches)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _postings(self, segments: DataFrame, first: bool) -> DataFrame:
+        """The postings of a batch by the order of rarity, which the first batch settles; the number of ranges is part of its path."""
+        if first:
+            bits = _range_bits(segments)
+            sent = segments.select("seg", "uniq", "idx").mapInArrow(_spread(bits), "bereik int, seg long, signs binary, counts binary")
+            told = stage(sent.groupBy("bereik").applyInArrow(_tally, _CODES), "p2-codes")
+            told.where("seg is null").select("bereik", "bekend", "codes").write.mode("overwrite").parquet(self._path(f"rarity/bits-{bits}"))
+            codes = told.where("seg is not null").drop("bekend")
+        else:
+            name = self._parts("rarity")[0]
+            sent = segments.select("seg", "uniq", "idx").mapInArrow(_spread(int(name.split("-")[1])), "bereik int, seg long, signs binary, counts binary")
+            order = self.spark.read.schema(_ORDER).parquet(self._path(f"rarity/{name}"))
+            codes = sent.groupBy("bereik").cogroup(order.groupBy("bereik")).applyInArrow(_looked_up, "seg long, bereik int, codes binary")
+        both = segments.select("seg", "ids", "sizes", "uniq", "idx").groupBy("seg").cogroup(codes.groupBy("seg"))
+        return stage(both.applyInArrow(_prefixes(*self.similar), _POSTING), "p2-new-postings")
 
     def append(self, files: DataFrame, docs: DataFrame, history_docs: DataFrame) -> DataFrame:
         """(file_id_1, file_id_2): the rows of the batch `files` that repeat, with the earliest accepted row each repeats.
 
-        docs: (file_id, text) of the batch; history_docs: of all texts, read by id for what has to be verified.
-        The batch is added in one folder per table, named by its number, once its decisions are written.
+        files: (file_id, sha256, url), all with larger ids than any before; docs: (file_id, text) of the batch;
+        history_docs: of all texts, read by id for the pairs to verify. Rows delivered twice under one file_id
+        count once, null urls match nothing, a text of fewer than five words agrees with none, of several texts
+        of a file the longest counts.
         """
-        k = self._parts("rows")
-        rows = self._read("rows", "file_id long, sha256 string, url string")
-        old = self._read("members", "file_id long, class1 long, class2 long, n int, sig array<long>")
-        old_posts = self._read("postings", _POSTING)
-        files = stage(files.select(F.col("file_id").cast("bigint").alias("file_id"), "sha256", "url"), "p2-batch")
-        segments = blocks(docs.join(small(files.select("file_id")), "file_id", "left_semi"), scanned=False)
-        bits = 8
-        sent = segments.select("seg", "uniq", "idx").mapInArrow(_spread(bits), "bereik int, seg long, signs binary, counts binary")
-        order = "bereik int, bekend binary, codes binary"
-        if not self._parts("rarity"):
-            sent.groupBy("bereik").applyInArrow(_rarities, order).write.parquet(self._path("rarity/batch-0"))
-        codes = sent.groupBy("bereik").cogroup(self._read("rarity", order).groupBy("bereik")).applyInArrow(_looked_up, "seg long, bereik int, codes binary")
-        both = segments.select("seg", "ids", "sizes", "uniq", "idx").groupBy("seg").cogroup(codes.groupBy("seg"))
-        posts = stage(both.applyInArrow(_prefixes(*self.similar, True), _POSTING), "p2-new-postings")
-        own = stage(segments.select("ids", "sizes", "class1", "class2", "sigs").mapInArrow(_members, "file_id long, class1 long, class2 long, n int, sig array<long>"), "p2-new-members")
-        every = old.unionByName(own)
-        first = every.groupBy("class1", "class2", "n").agg(F.min("file_id").alias("klasse"))
-        mem = stage(every.join(first, ["class1", "class2", "n"]).select("file_id", "klasse", "n", "sig"), "p2-classes")
-        # in the first batch a sign that the order doesn't know stands in one text only
-        every_post, new_texts = (old_posts.unionByName(posts), own.select("file_id")) if k else (posts.where("bekend"), None)
-        pairs = stage(similar_pairs(history_docs, every_post, mem, self.similar, new_texts), "p2-similar")
-        gives, takes = _groups(rows.unionByName(files), mem, pairs)
-        new = small(files.select("file_id"))
-        settled = gives.join(new, "file_id", "left_anti").groupBy("soort", "groep").agg(F.min("file_id").alias("eerst"))
-        out = stage(decide(gives.join(new, "file_id", "left_semi"), takes.join(new, "file_id", "left_semi"), stage(settled, "p2-settled")), "p2-repeats")
+        k = len(self._parts("keys"))
+        batch = files.where(F.col("file_id").isNotNull()).select(F.col("file_id").cast("bigint").alias("file_id"), normal_digest(F.col("sha256")).alias("digest"), normal_url(F.col("url")).alias("adres"))
+        batch = stage(batch.groupBy("file_id").agg(F.min_by(F.struct("digest", "adres"), F.struct(F.col("digest").isNull(), "digest", "adres")).alias("r")).select("file_id", "r.*"), "p2-batch")
+        ids = small(batch.select("file_id"))
+        texts = one_text(docs.join(ids, "file_id", "left_semi") if k else docs)
+        segments = blocks(texts, scanned=not k)
+        posts = self._postings(segments, not k)
+        own = stage(segments.select("ids", "sizes", "class1", "class2", "sigs").mapInArrow(_members, _MEMBER).join(ids, "file_id", "left_semi"), "p2-members")
+        gives, takes, settled = self._groups(batch, own, posts, history_docs, k)
+        out = stage(decide(gives, takes, settled), "p2-repeats")
         gone = small(out.select(F.col("file_id_2").alias("file_id")))
-        for name, df in (("members", own), ("postings", posts), ("rows", files)):  # rows last: their folder counts the batch
-            df.join(gone, "file_id", "left_anti").write.mode("overwrite").parquet(self._path(f"{name}/batch-{k}"))
+        new = batch.join(gone, "file_id", "left_anti")
+        keys = new.select(F.explode(F.array(F.struct(F.lit("d").alias("soort"), F.col("digest").alias("sleutel")), F.struct(F.lit("a").alias("soort"), F.col("adres").alias("sleutel")))).alias("k"), "file_id")
+        keys = keys.where(F.col("k.sleutel").isNotNull()).groupBy("k.soort", "k.sleutel").agg(F.min("file_id").alias("file_id"))
+        kept = small(stage(new.select("file_id"), "p2-accepted"))
+        for name, df in (("classes", own.join(kept, "file_id", "left_semi")), ("postings", posts.join(kept, "file_id", "left_semi").sortWithinPartitions("sign")), ("keys", keys)):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self._path(f"{name}/batch-{k}"))
         return out
+
+    def _groups(self, batch: DataFrame, own: DataFrame, posts: DataFrame, history_docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(gives, takes, settled): the groups (soort, groep) in which a row of the batch may be the repeated one, those in which it may repeat, and those that history has settled, with their earliest accepted row.
+
+        A group is known by a row: the smallest of the batch with the key, or the accepted one of an older class.
+        """
+        known = self._read("keys", "soort string, sleutel string, file_id long", k)
+        parts = []
+        for kind, col, may in (("d", "digest", F.lit(True)), ("a", "adres", F.col("digest").isNull())):
+            g = stage(batch.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("sleutel")).agg(F.min("file_id").alias("groep"), F.count("*").alias("m")), f"p2-{col}")
+            old = known.where(F.col("soort") == kind).join(small(g.select("sleutel")), "sleutel", "left_semi").groupBy("sleutel").agg(F.min("file_id").alias("eerst"))
+            live = stage(g.join(old, "sleutel", "left").where("m > 1 or eerst is not null"), f"p2-live-{col}")
+            rows = batch.join(live, F.col(col) == F.col("sleutel")).select("file_id", F.lit(kind).alias("soort"), "groep", may.alias("neemt"))
+            parts.append((rows, live.where("eerst is not null").select(F.lit(kind).alias("soort"), "groep", "eerst")))
+        rows = stage(parts[0][0].unionByName(parts[1][0]), "p2-groups")
+
+        fp = ["class1", "class2", "n"]
+        old = self._read("classes", _MEMBER, k)
+        cls = own.groupBy(*fp).agg(F.min("file_id").alias("klasse"), F.count("*").alias("m"))
+        same = old.join(small(stage(cls.select(*fp), "p2-fingerprints")), fp, "left_semi").select(*fp, F.col("file_id").alias("eerst"))
+        cls = stage(cls.join(same, fp, "left"), "p2-classes")
+        reps = own.join(small(cls.select(F.col("klasse").alias("file_id"))), "file_id", "left_semi")
+        mine = posts.join(small(cls.select(F.col("klasse").alias("file_id"))), "file_id", "left_semi")
+        if k:
+            every, new = self._read("postings", _POSTING, k).unionByName(mine), cls.select(F.col("klasse").alias("file_id"))
+        else:  # in the first batch a sign that the order doesn't know stands in one text only
+            every, new = stage(mine.where("bekend"), "p2-postings"), None
+        pairs = stage(similar_pairs(history_docs, every, old.unionByName(reps), self.similar, new), "p2-similar")
+        edges = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("klasse", "buur")
+        live = cls.where("m > 1 or eerst is not null").select("klasse").union(edges.select("klasse")).distinct()
+        t = stage(own.join(cls.drop("eerst", "m"), fp).select("file_id", "klasse").join(live, "klasse", "left_semi"), "p2-texts")
+        as_t = t.select("file_id", F.lit("t").alias("soort"), F.col("klasse").alias("groep"))
+        near = t.join(edges, "klasse").select("file_id", F.lit("t").alias("soort"), F.col("buur").alias("groep"))
+        gives = rows.select("file_id", "soort", "groep").union(as_t)
+        takes = rows.where("neemt").select("file_id", "soort", "groep").union(as_t).union(near)
+        # an older class is a group of its accepted row alone
+        before = edges.select(F.col("buur").alias("groep")).distinct().join(cls.select(F.col("klasse").alias("groep")), "groep", "left_anti").select(F.lit("t").alias("soort"), "groep", F.col("groep").alias("eerst"))
+        settled = parts[0][1].union(parts[1][1]).union(cls.where("eerst is not null").select(F.lit("t").alias("soort"), F.col("klasse").alias("groep"), "eerst")).union(before)
+        return stage(gives, "p2-gives"), stage(takes, "p2-takes"), stage(settled, "p2-settled")
+
+
+def appended(files: DataFrame, docs: DataFrame, bounds: tuple[int, ...] = (), similar: tuple[int, int] = SIMILAR) -> list[DataFrame]:
+    """What each batch gives that is appended to a new index: the rows of files up to each bound of file_id, then the rest."""
+    index = SegmentIndex(files.sparkSession, stage_path(files.sparkSession, "p2-index"), similar)
+    out, low = [], None
+    for high in (*bounds, None):
+        rows = files if low is None else files.where(F.col("file_id") > low)
+        rows = rows if high is None else rows.where(F.col("file_id") <= high)
+        out.append(index.append(rows, docs, docs))
+        low = high
+    return out
+
+
+def repeats(files: DataFrame, docs: DataFrame, bounds: tuple[int, ...] = (), similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(file_id_1, file_id_2) over all rows of files (file_id, url, sha256), with the texts of docs (file_id, text), in batches that end at the bounds."""
+    first, *more = appended(files, docs, bounds, similar)
+    for m in more:
+        first = first.unionByName(m)
+    return first
+
+
+def linked_classes(docs: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(file_id, klasse, buren): the class of each text, known by the smallest id with the same string, and with how many other classes it agrees. Texts of fewer than five words have no class and are left out."""
+    index = SegmentIndex(docs.sparkSession, stage_path(docs.sparkSession, "p2-links"), similar)
+    d = one_text(docs)
+    segments = blocks(d)
+    posts = index._postings(segments, True)
+    own = stage(segments.select("ids", "sizes", "class1", "class2", "sigs").mapInArrow(_members, _MEMBER), "p2-members")
+    fp = ["class1", "class2", "n"]
+    cls = stage(own.groupBy(*fp).agg(F.min("file_id").alias("klasse")), "p2-classes")
+    ids = small(cls.select(F.col("klasse").alias("file_id")))
+    pairs = stage(similar_pairs(d, stage(posts.where("bekend").join(ids, "file_id", "left_semi"), "p2-postings"), own.join(ids, "file_id", "left_semi"), similar), "p2-similar")
+    links = pairs.select("a").union(pairs.select("b")).toDF("k2").groupBy("k2").agg(F.count("*").alias("m"))
+    t = own.join(cls, fp).select("file_id", "klasse")
+    return t.join(links, F.col("klasse") == F.col("k2"), "left").select("file_id", "klasse", F.coalesce("m", F.lit(0)).alias("buren"))

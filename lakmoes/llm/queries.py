@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakmoes.llm import areas, dedup, encoding, leaks, lines, packing, pii
 
-from lakmoes.plans.stage import spread, stage, stage_path
+from lakmoes.plans.stage import spread, stage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -39,17 +39,29 @@ def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tabel", "id", F.col("n_weg").cast("bigint").alias("n_weg"), F.sha2("schoon", 256).alias("schoon_sha256"))
 
 
+def _p2_batches(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """All batches but the newest, then the newest, appended to an index."""
+    files, docs = table(spark, sf, "files").select("file_id", "sha256", "url", "batch_nr"), table(spark, sf, "documents").select("file_id", "text")
+    newest = files.agg(F.max("batch_nr")).first()[0]
+    before = files.where(F.col("batch_nr") < newest).agg(F.max("file_id")).first()[0] if newest is not None else None
+    return dedup.appended(files.drop("batch_nr"), docs, (before,) if before is not None else ())
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.repeats(table(spark, sf, "files"), table(spark, sf, "documents").select("file_id", "text"))
+    first, *more = _p2_batches(spark, sf)
+    for m in more:
+        first = first.unionByName(m)
+    return first
 
 
 def p2_last_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest batch against an index of all before it."""
-    files, docs = table(spark, sf, "files"), table(spark, sf, "documents").select("file_id", "text")
-    last = files.agg(F.max("batch_nr")).first()[0]
-    index = dedup.SegmentIndex(spark, stage_path(spark, "p2-index"))
-    index.append(files.where(F.col("batch_nr") < last), docs, docs)
-    return index.append(files.where(F.col("batch_nr") == last), docs, docs)
+    """What the newest batch repeats of all before it."""
+    return _p2_batches(spark, sf)[-1]
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of each text and its links to other classes."""
+    return dedup.linked_classes(table(spark, sf, "documents").select("file_id", "text"))
 
 
 _P3 = (("documents", "doc_id", "text"), ("bron_document", "rij_id", "text"), ("files", "file_id", "titel"))
@@ -173,7 +185,7 @@ i AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT item_id,
 
 _P6 = "SELECT CAST(capaciteit AS BIGINT) AS capaciteit, count(*) AS documenten, CAST(sum(t) AS BIGINT) AS tokens, count(*) FILTER (WHERE t <= capaciteit) AS heel, 0 AS gaten, 0 AS te_vol, 0 AS te_veel, 0 AS te_duur FROM (SELECT octet_length(encode(text)) + 1 AS t FROM documents WHERE text IS NOT NULL), bakken WHERE {where} GROUP BY capaciteit"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p2_last_batch": p2_last_batch, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p6_limits": p6_limits, "p6_held": p6_held, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p2_last_batch": p2_last_batch, "p2_classes": p2_classes, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p6_limits": p6_limits, "p6_held": p6_held, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules}
 
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT k.tabel, k.id, CAST(regel_nr AS INTEGER) AS regel_nr FROM k JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k",
@@ -181,6 +193,13 @@ SQL: dict[str, str] = {
 LEFT JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k GROUP BY l.tabel, l.id),
 a AS (SELECT 'documents' AS tabel, doc_id AS id FROM documents UNION ALL SELECT 'bron_document', rij_id FROM bron_document)
 SELECT a.tabel, a.id, coalesce(n_weg, 0) AS n_weg, CASE WHEN d.id IS NOT NULL THEN sha256(coalesce(array_to_string(over_, chr(10)), '')) END AS schoon_sha256 FROM a LEFT JOIN d ON a.tabel = d.tabel AND a.id = d.id""",
+    "p2_classes": r"""WITH w AS (SELECT file_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT file_id, hash(array_to_string(w[k:k+4], ' ')) AS s FROM (SELECT file_id, w, unnest(range(1, len(w) - 3)) AS k FROM w)),
+c AS (SELECT file_id, min(file_id) OVER (PARTITION BY z, n) AS klasse, n FROM (SELECT file_id, count(*) AS n, sum(s::HUGEINT) AS z FROM s GROUP BY file_id)),
+r AS (SELECT s.file_id AS k, s.s, n FROM s JOIN c USING (file_id) WHERE c.klasse = c.file_id),
+p AS (SELECT a.k AS a, b.k AS b FROM r a JOIN r b ON a.s = b.s AND a.k < b.k AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 7 GROUP BY a.k, b.k, a.n, b.n HAVING count(*) * 10 >= (a.n + b.n - count(*)) * 7),
+l AS (SELECT k, count(*) AS m FROM (SELECT a AS k FROM p UNION ALL SELECT b FROM p) GROUP BY k)
+SELECT file_id, klasse, coalesce(m, 0) AS buren FROM c LEFT JOIN l ON l.k = c.klasse""",
     "p6_found": "SELECT CAST(capaciteit AS BIGINT) AS capaciteit, doc_id FROM documents, bakken WHERE octet_length(encode(text)) + 1 > capaciteit",
     "p6_held": _P6.format(where="1 = 1"),
     "p6_limits": _P6.format(where="t > capaciteit OR CAST(t AS DOUBLE) * t <= CAST(capaciteit AS DOUBLE) * capaciteit / 2"),
