@@ -10,7 +10,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its written size, as counted, is below this many bytes in memory.
@@ -64,18 +64,32 @@ def drop_stages(spark: SparkSession | None = None) -> None:
 atexit.register(drop_stages)
 
 
-def row_bytes(df: DataFrame) -> int:
-    """A guess of the bytes of a row of fixed-width columns; strings and arrays count 64."""
+def _bytes(name: str, kind: str) -> Column:
+    """The bytes of a value in memory: texts and lists by their length, structs and maps by 64 for each part."""
     width = {"int": 4, "bigint": 8, "double": 8, "smallint": 2, "boolean": 1, "tinyint": 1, "date": 4, "timestamp": 8}
-    return 16 + sum(width.get(t, 64) for _, t in df.dtypes)
+    c = F.col(f"`{name}`")
+    if kind in width:
+        return F.lit(width[kind]).cast("bigint")
+    if kind in ("string", "binary"):
+        return 16 + F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint")
+    if kind.startswith(("array", "map")):
+        each = width.get(kind[6:-1], 64) if kind.startswith("array") else 128
+        return 16 + F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint") * each
+    return F.lit(64 * (1 + kind.count(","))).cast("bigint")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """The bytes of all rows in memory, counted over df."""
+    each = sum((_bytes(n, t) for n, t in df.dtypes), F.lit(16).cast("bigint"))
+    return int(df.agg(F.sum(each)).first()[0] or 0)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted size is below the limit, else unchanged.
+    """df with a broadcast hint if its measured size is below the limit, else unchanged.
 
-    df must be cheap to count: a staged table or a table of fixed size.
+    df must be cheap to read: a staged table or a table of fixed size.
     """
-    return F.broadcast(df) if df.count() * row_bytes(df) <= limit else df
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
