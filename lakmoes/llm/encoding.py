@@ -1,7 +1,8 @@
 """Text that was decoded with the wrong character encoding.
 
-A word here is a run of ASCII letters and characters beyond ASCII, with at least one of the latter. All
-distinct words of the corpus are counted; each is garbled along every chain of encodings, and so is each of
+A word here is a run of ASCII letters and of those characters beyond ASCII that some code page shows for a
+byte, with at least one of the latter; other scripts break a word, as no wrong decoding ends in them, so their
+unbroken sentences don't swell the vocabulary. All distinct words of the corpus are counted; each is garbled along every chain of encodings, and so is each of
 its runs beyond ASCII. The garbled forms are hash-joined with the words that occur: a word is garbled if it
 equals a garbled form of a word that is more frequent, and so is one with a run beyond ASCII that equals the
 garbled form of a more frequent run. What is left, words whose original the corpus never shows, is decoded
@@ -12,7 +13,10 @@ controls tell that something was lost; such words are found, not restored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +82,21 @@ def garbled_forms(text: str) -> set[tuple[str, bool]]:
     return {(x, u) for x, u in out if x != text and x}
 
 
+#: What the code pages show for the bytes beyond ASCII, with the C1 controls and the replacement character.
+SHOWN = frozenset(c for e in READ_AS for c in bytes(range(128, 256)).decode(e, "ignore")) | frozenset(map(chr, range(0x80, 0xA0))) | {LOST}
+
+
+@cache
+def _shown() -> np.ndarray:
+    on = np.zeros(sys.maxunicode + 1, bool)
+    on[[ord(c) for c in SHOWN]] = True
+    return on
+
+
 def _plausible(text: str) -> bool:
+    """Whether a decoded run may be an original: Latin letters and common signs, or at least two letters of one other script."""
+    if len(text) > 1 and all(c.isalpha() for c in text) and len({unicodedata.name(c, "").split(" ")[0] for c in text}) == 1:
+        return True
     return all(c.isascii() or "\xa0" <= c < "ɐ" or "‐" <= c <= "›" or c in "€™" for c in text)
 
 
@@ -120,7 +138,7 @@ def _spaced(word: str) -> str | None:
 def words_beyond_ascii(texts: list[str]) -> Iterator[tuple[int, int, str]]:
     """(text number, start, word) of each word with characters beyond ASCII; a no-break space is one of those."""
     cp, at = scan.code_points(texts)
-    high = cp >= 128
+    high = (cp >= 128) & _shown()[cp]
     if not high.any():
         return
     letter = ((cp | 32) >= 97) & ((cp | 32) <= 122)

@@ -25,8 +25,10 @@ from lakmoes.llm import scan
 from lakmoes.plans.stage import spread, stage_path
 
 WORDS = 12
-#: Items are searched in groups of so many; each group goes to the tasks as one array of bounded size.
-ITEM_BLOCK = 4096
+#: Items are searched in groups of so many, or of so many characters; each group goes to the tasks as one array of bounded size.
+ITEM_BLOCK, ITEM_CHARS = 4096, 8_000_000
+#: Postings and anchors of one term are held against each other in pieces of so many pairs.
+PIECE = 1 << 20
 
 _SEGMENT = "docs binary, starts binary, terms binary, counts binary, places binary"
 
@@ -86,13 +88,6 @@ def _anchors(seq: np.ndarray, starts: np.ndarray, rarity: np.ndarray, n: int) ->
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _pairs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each i in turn, i counts[i] times, and the numbers 0 .. counts[i] - 1."""
-    who = np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts) - counts
-    return who, np.arange(len(who)) - first[who]
-
-
 def _matches(query, n: int):
     seq, owner, anchors, names = query.value
 
@@ -117,27 +112,32 @@ def _matches(query, n: int):
                 to = np.minimum(np.searchsorted(terms, seq), len(terms) - 1)
                 item = np.where(terms[to] == seq, to, -1)
                 doc_of = np.repeat(np.arange(len(docs)), np.diff(starts))
-                # every posting of an anchor term against every anchor with that term
-                n_post, n_anchor = counts[at[hit]], first[hit + 1] - first[hit]
-                who, k = _pairs(n_post * n_anchor)
-                p = places[offset[at[hit]][who] + k // n_anchor[who]].astype(np.int64)
-                q = anchors[by[first[hit][who] + k % n_anchor[who]]]
-                left, right = np.zeros(len(p), np.int64), np.ones(len(p), np.int64)
-                for size, sign in ((right, 1), (left, -1)):
-                    alive = np.arange(len(p))
-                    for step in range(1, n):
-                        x, y = p[alive] + sign * step, q[alive] + sign * step
-                        ok = (x >= 0) & (x < len(text)) & (y >= 0) & (y < len(seq))
-                        alive, x, y = alive[ok], x[ok], y[ok]
-                        ok = (text[x] == item[y]) & (doc_of[x] == doc_of[p[alive]]) & (owner[y] == owner[q[alive]])
-                        alive = alive[ok]
-                        if not len(alive):
-                            break
-                        size[alive] += 1
-                long = left + right >= n
-                p, q, left = p[long], q[long], left[long]
-                found = pd.DataFrame({"doc_id": docs[doc_of[p]], "item_id": names[owner[q]], "doc_pos": (p - left) - starts[doc_of[p]], "words": (left + right[long])})
-                yield pa.RecordBatch.from_pandas(found.drop_duplicates(), schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_pos", pa.int64()), ("words", pa.int64())]), preserve_index=False)
+                # every posting of an anchor term against every anchor with that term, piece by piece: common words shared by many items make many pairs
+                n_post, n_anchor = counts[at[hit]].astype(np.int64), first[hit + 1] - first[hit]
+                edge = np.cumsum(n_post * n_anchor)
+                found: list[pd.DataFrame] = []
+                for lo in range(0, int(edge[-1]), PIECE):
+                    pair = np.arange(lo, min(lo + PIECE, int(edge[-1])))
+                    who = np.searchsorted(edge, pair, side="right")
+                    k = pair - (edge[who] - (n_post * n_anchor)[who])
+                    p = places[offset[at[hit]][who] + k // n_anchor[who]].astype(np.int64)
+                    q = anchors[by[first[hit][who] + k % n_anchor[who]]]
+                    left, right = np.zeros(len(p), np.int64), np.ones(len(p), np.int64)
+                    for size, sign in ((right, 1), (left, -1)):
+                        alive = np.arange(len(p))
+                        for step in range(1, n):
+                            x, y = p[alive] + sign * step, q[alive] + sign * step
+                            ok = (x >= 0) & (x < len(text)) & (y >= 0) & (y < len(seq))
+                            alive, x, y = alive[ok], x[ok], y[ok]
+                            ok = (text[x] == item[y]) & (doc_of[x] == doc_of[p[alive]]) & (owner[y] == owner[q[alive]])
+                            alive = alive[ok]
+                            if not len(alive):
+                                break
+                            size[alive] += 1
+                    long = left + right >= n
+                    p, q, left = p[long], q[long], left[long]
+                    found.append(pd.DataFrame({"doc_id": docs[doc_of[p]], "item_id": names[owner[q]], "doc_pos": (p - left) - starts[doc_of[p]], "words": (left + right[long])}))
+                yield pa.RecordBatch.from_pandas(pd.concat(found).drop_duplicates(), schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_pos", pa.int64()), ("words", pa.int64())]), preserve_index=False)
 
     return run
 
@@ -145,12 +145,14 @@ def _matches(query, n: int):
 def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of at most ITEM_BLOCK items: (words, item number, starts, ids)."""
     held: list[tuple[int, str]] = []
+    chars = 0
     rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).distinct()
     for r in rows.toLocalIterator():
         held.append((r[0], r[1]))
-        if len(held) == ITEM_BLOCK:
+        chars += len(r[1])
+        if len(held) == ITEM_BLOCK or chars >= ITEM_CHARS:
             yield _as_arrays(held)
-            held = []
+            held, chars = [], 0
     if held:
         yield _as_arrays(held)
 

@@ -45,3 +45,10 @@ def test_words_against_a_pattern():
     texts = ["a\xa0b é-x één'ß 12€3", "", "geen", "ü" * 5, "x" * 10_000 + "é"]
     want = [(i, m.start(), m[0]) for i, t in enumerate(texts) for m in re.finditer(r"[A-Za-z\u0080-\U0010ffff]+", t) if re.search(r"[^\x00-\x7f]", m[0])]
     assert list(E.words_beyond_ascii(texts)) == want
+
+
+def test_other_scripts():
+    # sentences of other scripts are no words of the vocabulary; garbled ones decode back
+    assert [w for _, _, w in E.words_beyond_ascii(["это длинное предложение, 中文句子没有空格 und Köln"])] == ["Köln"]
+    assert E.decoded_back("Москва".encode().decode("latin-1")) == "Москва"
+    assert E.decoded_back("Ω") is None and E.decoded_back("ÃŸ") == "ß"
