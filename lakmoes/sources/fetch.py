@@ -62,6 +62,48 @@ class Throttle:
         self.last[host] = self.now()
 
 
+def http(options: dict[str, str]) -> Callable[..., Response]:
+    """An opener over HTTP, for the options delay_seconds and timeout: spaced by host and tried again by the schedule. Redirects and states are urllib's."""
+    from urllib.error import HTTPError
+    from urllib.parse import urlsplit
+    from urllib.request import Request, urlopen
+
+    throttle, timeout = Throttle(float(options.get("delay_seconds", 1.0))), float(options.get("timeout", 30))
+
+    def open_(url: str, data: str | None = None) -> Response:
+        for attempt in range(5):
+            throttle.wait(urlsplit(url).hostname or "")
+            try:
+                r = urlopen(Request(url, data.encode() if data is not None else None, {"Content-Type": "application/json"} if data is not None else {}), timeout=timeout)
+                return Response(r.status, dict(r.headers), iter(lambda: r.read(1 << 16), b""))
+            except HTTPError as e:
+                if e.code not in PASSING or attempt == 4:
+                    return Response(e.code, dict(e.headers), [])
+                time.sleep(wait_before(attempt, e.code, e.headers.get("Retry-After")))
+        raise GivenUp(url)
+
+    return open_
+
+
+def landed_name(url: str, data: str | None = None) -> str:
+    """The name under which the answer to a request stands in a folder of landed answers."""
+    return hashlib.sha256(f"{url}\n{data or ''}".encode()).hexdigest()
+
+
+def landed(options: dict[str, str]) -> Callable[..., Response]:
+    """An opener over landed answers: files in the option `folder`, named by `landed_name`; 404 for a request whose answer has not landed."""
+    folder = options["folder"]
+
+    def open_(url: str, data: str | None = None) -> Response:
+        path = os.path.join(folder, landed_name(url, data))
+        if not os.path.exists(path):
+            return Response(404, {}, [])
+        with open(path, "rb") as f:
+            return Response(200, {}, [f.read()])
+
+    return open_
+
+
 def download(opener: Callable[[str], Response], url: str, folder: str, max_mb: int = 60, retries: int = 4, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str, int]:
     """(sha256, path, bytes) of a download, named by its content. The cap holds for the announced and for the counted size; a part file never gets the final name."""
     cap = max_mb * 1024 * 1024

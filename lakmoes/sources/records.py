@@ -18,9 +18,10 @@ from lakmoes.plans.stage import small
 
 ANNOUNCEMENT = "title array<string>, itemUrl array<struct<_manifestation:string,_VALUE:string>>, externeBijlage array<string>, modified string, creator string"
 COUNCIL = "`@id` string, original_url string, name string, text string, md_text string, text_pages array<struct<page:int,text:string>>, file_name string, content_type string, date_modified string, has_organization_name string"
-# File kinds offered by detail pages, and modules to fall back on.
+# File kinds offered by detail pages, modules that hold no documents, and those to fall back on.
 DOCUMENT_KINDS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx")
 NO_MODULES = ("calendar", "councilperiod")
+FALLBACK_MODULES = ("postin", "councildocument", "bestuursdocument", "beleidsdocument", "dossier", "question", "motie", "toezegging", "verordening", "publicdocument", "raadsbesluit")
 
 
 def read_announcements(spark: SparkSession, path: str, row_tag: str = "record") -> DataFrame:
@@ -60,10 +61,10 @@ def attachments(records: DataFrame, resolved: DataFrame | None = None, pattern:
 
 def search_query(creator: str, since: str | None = None, until: str | None = None) -> str:
     """The filter of the search service: area, creator and dates of change joined by and."""
-    parts = ["c.product-area==officielepublicaties", f'dt.creator="{creator}"']
-    parts += [f"dt.modified>={since}"] if since else []
-    parts += [f"dt.modified<={until}"] if until else []
-    return " and ".join(parts)
+    parts = ["c.product-area==officielepublicaties", f'dt.creator=="{creator}"']
+    parts += [f'dt.modified>="{since}"'] if since else []
+    parts += [f'dt.modified<="{until}"'] if until else []
+    return " AND ".join(parts)
 
 
 def council_documents(raw: DataFrame, source: str, gemeente: str, json_col: str = "json", id_col: str = "es_id") -> DataFrame:
@@ -112,22 +113,27 @@ def _walk_links(x, out: list[str]) -> None:
             stack += reversed(x)
 
 
+def document_links(details) -> list[str]:
+    """The links to documents anywhere inside the details of an item."""
+    out: list[str] = []
+    _walk_links(details, out)
+    return out
+
+
 def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple[str, str]] = []
+        rows: list[tuple] = []
         for base, text in zip(batch.column("base").to_pylist(), batch.column("json").to_pylist()):
-            found: list[str] = []
             try:
-                _walk_links(json.loads(text or "null"), found)
-            except ValueError:
-                continue
-            rows += [(base, urljoin(base or "", f)) for f in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["base", "url"])
+                rows += [(base, urljoin(base or "", f), None) for f in document_links(json.loads(text or "null"))]
+            except ValueError as e:
+                rows.append((base, None, f"no JSON: {e}"[:200]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["base", "url", "fout"])
 
 
 def detail_links(details: DataFrame) -> DataFrame:
-    """(base, url) of the document links anywhere inside details (base, json), made absolute. Details that are no JSON have none."""
-    return details.select("base", "json").mapInArrow(_details, "base string, url string")
+    """(base, url, fout) of the document links anywhere inside details (base, json), made absolute. Details that are no JSON give one row with fout."""
+    return details.select("base", "json").mapInArrow(_details, "base string, url string, fout string")
 
 
 DOC = "array<struct<Id:string,FileName:string,DisplayName:string,Confidential:boolean,PublicDownloadURL:string>>"

@@ -7,9 +7,11 @@ source that can't run raises `SourceNotReady`; `read_sources` records that and g
 from __future__ import annotations
 
 import glob
+import json
 import os
 from collections.abc import Callable, Iterator
 from functools import reduce
+from importlib import import_module
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from lakmoes.config import Config
 from lakmoes.operators import crawl
 from lakmoes.plans.stage import stage
-from lakmoes.sources import files, records
+from lakmoes.sources import files, live, records
 
 DOCUMENT = "bron string, doc_id string, url string, ext string, titel string, text string, chunks array<struct<idx:int,loc:string,text:string>>, meta map<string,string>"
 
@@ -93,9 +95,66 @@ def _council(spark: SparkSession, conf: dict) -> DataFrame:
     return records.council_documents(raw, conf.get("naam", "council"), conf.get("gemeente", ""))
 
 
+def _told(found: DataFrame) -> DataFrame:
+    """The rows of a service; a slice that failed makes the source one that was not read whole."""
+    found = stage(found, "live")
+    bad = live.failed_slices(found).limit(5).collect()
+    if bad:
+        raise SourceNotReady("; ".join(f"{r['slice']}: {r['fout']}" for r in bad))
+    return found
+
+
+def _options(conf: dict, *names: str) -> dict[str, str]:
+    return {k: str(conf[k]) for k in ("endpoint", "opener", "folder", "delay_seconds", "page_size", "max", "timeout", *names) if conf.get(k) is not None}
+
+
+def _search(spark: SparkSession, conf: dict) -> DataFrame:
+    """Announcements: landed responses at path, or a search at endpoint for each of creators."""
+    if conf.get("path"):
+        return _announcements(spark, conf)
+    if not conf.get("creators"):
+        raise SourceNotReady("a search needs creators")
+    return _told(live.announcements(spark, conf["creators"], conf.get("since"), conf.get("until"), **_options(conf, "attachments"))).select("url", "ext", "titel").distinct()
+
+
+def _council_live(spark: SparkSession, conf: dict) -> DataFrame:
+    if conf.get("path"):
+        return _council(spark, conf)
+    if not conf.get("gemeenten"):
+        raise SourceNotReady("council records need gemeenten")
+    raw = _told(live.read(spark, "council", [(g,) for g in conf["gemeenten"]], **_options(conf)))
+    parts = [records.council_documents(raw.where(F.col("slice") == g), conf.get("naam", "council"), g, "json", "doc_id") for g in conf["gemeenten"]]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _modules_live(spark: SparkSession, conf: dict) -> DataFrame:
+    if conf.get("path"):
+        return _modules(spark, conf)
+    if not conf.get("sites"):
+        raise SourceNotReady("modules need sites")
+    years = range(int(conf["van"]), int(conf["tot"]) + 1) if conf.get("van") and conf.get("tot") else [None]
+    hosts = [s.get("host") or f"{str(s.get('gemeente', '')).strip().lower()}.parlaeus.nl" for s in conf["sites"]]
+    opts = _options(conf) | ({"modules": ";".join(conf["modules"])} if conf.get("modules") else {})
+    found = _told(live.read(spark, "modules", [(h, y) for h in hosts for y in years], **opts))
+    # an item that stands in the lists of several years comes once
+    return found.groupBy("slice", "doc_id", "url").agg(F.min("ext").alias("ext"), F.min("titel").alias("titel")).select("url", "ext", "titel")
+
+
+def _portal_live(spark: SparkSession, conf: dict) -> DataFrame:
+    if conf.get("path"):
+        return _portal(spark, conf)
+    who = conf.get("organisatie") or conf.get("organisatie_naam")
+    if not who:
+        raise SourceNotReady("the portal needs organisatie or organisatie_naam")
+    return _told(live.read(spark, "portal", [(who,)], **_options(conf, "max_paginas"))).select("url", "ext", "titel", "doc_id")
+
+
 def _modules(spark: SparkSession, conf: dict) -> DataFrame:
     d = spark.read.text(conf["path"], wholetext=True).select(F.lit(conf.get("base", "")).alias("base"), F.col("value").alias("json"))
-    return records.detail_links(d).select("url", F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)(?:\?|$)", 1)).alias("ext")).distinct()
+    links = stage(records.detail_links(d), "details")
+    if not links.where("fout is not null").isEmpty():
+        raise SourceNotReady("some details are no JSON")
+    return links.select("url", F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)(?:\?|$)", 1)).alias("ext")).distinct()
 
 
 def _portal(spark: SparkSession, conf: dict) -> DataFrame:
@@ -114,12 +173,17 @@ def _table(spark: SparkSession, conf: dict) -> DataFrame:
 
 
 def _ibabs(spark: SparkSession, conf: dict) -> DataFrame:
-    """Landed meetings (JSON, one a line) at path, and their types (Id, Meetingtype) at types."""
+    """Meetings (JSON, one a line) landed at path, or asked of a service ("module:factory"), whose agendas are a few thousand; their types (Id, Meetingtype) at types."""
     if not conf.get("sitename"):
         raise SourceNotReady("ibabs needs a sitename")
     types = spark.read.schema("Id string, Meetingtype string").json(conf["types"]) if conf.get("types") else spark.createDataFrame([], "Id string, Meetingtype string")
-    meetings = spark.read.schema(MEETING).json(conf["path"])
     wanted = records.resolve_types(conf.get("meetingtypes"), types)
+    if conf.get("service"):
+        module, _, name = conf["service"].partition(":")
+        rows = [json.dumps(m, default=str) for m in live.meetings(getattr(import_module(module), name)(conf), conf["sitename"], types=wanted, since=conf.get("sinds"), start=conf.get("vanaf"), end=conf.get("tot"))]
+        meetings = spark.createDataFrame([(r,) for r in rows], "m string").select(F.from_json("m", MEETING).alias("m")).select("m.*")
+    else:
+        meetings = spark.read.schema(MEETING).json(conf["path"])
     if wanted is not None:
         meetings = meetings.where(F.col("MeetingtypeId").isin(wanted))
     d = records.meeting_documents(meetings, types, conf["sitename"])
@@ -153,7 +217,7 @@ def _not_available(spark: SparkSession, conf: dict) -> DataFrame:
 
 
 CONNECTORS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {
-    "sru": _announcements, "openraadsinformatie": _council, "parlaeus": _modules, "mijnpublicaties": _portal, "map": _folder, "tabel": _table, "ibabs": _ibabs, "crawl": _crawl, "notubiz": _not_available,
+    "sru": _search, "openraadsinformatie": _council_live, "parlaeus": _modules_live, "qualigraf": _modules_live, "mijnpublicaties": _portal_live, "map": _folder, "tabel": _table, "ibabs": _ibabs, "crawl": _crawl, "notubiz": _not_available,
 }
 
 
@@ -171,7 +235,8 @@ def register(spark: SparkSession) -> None:
 def read_sources(spark: SparkSession, sources: list[dict]) -> tuple[DataFrame, DataFrame]:
     """(documents, status) of configured sources ({type, naam, path, ...}); status is (naam, type, gelezen, reden).
 
-    An unknown type is reported and skipped. That a path is missing shows when the source is planned, before any row is read.
+    An unknown type is reported and skipped. Each source is read into a table of its own before its status is
+    told, so one that fails at whatever row is listed with its reason and leaves the others whole.
     """
     docs, status = [], []
     for conf in sources:
@@ -180,7 +245,7 @@ def read_sources(spark: SparkSession, sources: list[dict]) -> tuple[DataFrame, D
             status.append((naam, kind, False, f"unknown type; there are {', '.join(sorted(CONNECTORS))}"))
             continue
         try:
-            docs.append(_fit(CONNECTORS[kind](spark, conf), naam))
+            docs.append(stage(_fit(CONNECTORS[kind](spark, conf), naam), "source"))
             status.append((naam, kind, True, ""))
         except Exception as e:  # one source never stops the others
             status.append((naam, kind, False, f"{type(e).__name__}: {str(e)[:200]}"))

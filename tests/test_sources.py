@@ -21,7 +21,7 @@ def test_announcements(spark, tmp_path):
     assert [(r["titel"], r["pdf_url"]) for r in a] == [("Besluit", "https://a/x.pdf"), ("Leeg", None)]
     b = records.attachments(records.announcements(records.read_announcements(spark, str(p)))).orderBy("exb").collect()
     assert [(r["exb"], r["titel"]) for r in b] == [("exb-2024-12", "Besluit · bijlage: kaart|1.pdf"), ("exb-2024-13", "Besluit · bijlage: exb-2024-13")]
-    assert records.search_query("X", "2024-01-01") == 'c.product-area==officielepublicaties and dt.creator="X" and dt.modified>=2024-01-01'
+    assert records.search_query("X", "2024-01-01") == 'c.product-area==officielepublicaties AND dt.creator=="X" AND dt.modified>="2024-01-01"'
 
 
 def test_council_and_menus(spark):
@@ -31,7 +31,8 @@ def test_council_and_menus(spark):
     m = spark.createDataFrame([(json.dumps([{"label": "a", "entries": [{"name": "Raad"}, {"name": "calendar"}, {"name": "raad"}, {"name": "Motie"}]}]),)], "json string")
     assert records.menu_modules(m).first()["modules"] == ["raad", "motie"]
     det = spark.createDataFrame([("https://s/", json.dumps({"a": [{"link": "x?"}, {"b": {"link": "f/showdoc/1.pdf?q=1"}}, {"link": "f/showannex/2.exe"}]})), ("https://s/", "{")], "base string, json string")
-    assert [r["url"] for r in records.detail_links(det).collect()] == ["https://s/f/showdoc/1.pdf?q=1"]
+    links = records.detail_links(det).collect()
+    assert [r["url"] for r in links if r["fout"] is None] == ["https://s/f/showdoc/1.pdf?q=1"] and sum(r["fout"] is not None for r in links) == 1
 
 
 def test_meetings(spark):
@@ -69,8 +70,31 @@ A = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
 
 
 def make_pdf(text=b"(Hallo \\(wereld\\)) Tj", image=False):
-    s = zlib.compress(b"BT " + text + b" ET" + (b" /I Do" if image else b""))
-    return b"%%PDF-1.4\n1 0 obj <</Type /Page /Contents 2 0 R>> endobj\n2 0 obj <</Filter /FlateDecode /Length %d>> stream\n%s\nendstream endobj\n3 0 obj <</Title (T)>> endobj\ntrailer <</Info 3 0 R>>" % (len(s), s)
+    return pdf_of({4: b"BT " + text + b" ET" + (b" /I Do" if image else b"")}, b"")
+
+
+def pdf_of(pages, resources, extra=b""):
+    """A file whose page tree lists the pages in the order given, whatever their numbers."""
+    kids = b" ".join(b"%d 0 R" % (k + 100) for k in pages)
+    out = b"%%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [%s] %s>> endobj\n3 0 obj <</Title (T)>> endobj\n" % (kids, resources)
+    for k, data in pages.items():
+        z = zlib.compress(data)
+        out += b"%d 0 obj <</Type /Page /Parent 2 0 R /Contents %d 0 R>> endobj\n%d 0 obj <</Filter /FlateDecode /Length %d>> stream\n%s\nendstream endobj\n" % (k + 100, k, k, len(z), z)
+    return out + extra + b"trailer <</Root 1 0 R /Info 3 0 R>>"
+
+
+def test_pdf_order_and_fonts():
+    two = pdf_of({9: b"BT (een) Tj ET", 5: b"BT (twee) Tj ET"}, b"")
+    assert files.decode_one(two, "pdf")[1] == [("pagina 1", "een"), ("pagina 2", "twee")]
+    fonts = b"/Resources <</Font <</F1 20 0 R /F2 22 0 R>> /ProcSet [/PDF]>>"
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0024> <0041> <0048> <00660069> endbfchar 1 beginbfrange <0055> <0056> <0062> endbfrange"
+    extra = b"20 0 obj <</Type /Font /Subtype /Type0 /ToUnicode 21 0 R>> endobj\n21 0 obj <</Length 9>> stream\n" + cmap + b"\nendstream endobj\n22 0 obj <</Type /Font /Subtype /Type0>> endobj\n"
+    mapped = pdf_of({4: b"BT /F1 12 Tf <0024004800550056> Tj ET"}, fonts, extra)
+    assert files.decode_one(mapped, "pdf")[1] == [("pagina 1", "Afibc")]
+    blind = pdf_of({4: b"BT /F2 12 Tf <0024004800550056> Tj ET"}, fonts, extra)
+    assert files.decode_one(blind, "pdf")[0] == "unreadable"
+    half = pdf_of({4: b"BT /F2 12 Tf <0024> Tj ET", 5: b"BT (leesbaar) Tj ET"}, fonts, extra)
+    assert files.decode_one(half, "pdf")[:2] == ("ok", [("pagina 2", "leesbaar")]) and "1 page" in files.decode_one(half, "pdf")[2]["_fout"]
 
 
 def test_decoders(spark, tmp_path):
@@ -88,7 +112,7 @@ def test_decoders(spark, tmp_path):
     assert chunks[0][0].endswith("[VERBORGEN]") and meta["_verborgen_tabbladen"] == "Bevindingen"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/notesSlide"
     pptx = _zip({"ppt/slides/slide2.xml": f"<s {A}><a:p><a:t>Twee</a:t></a:p></s>", "ppt/slides/slide10.xml": f"<s {A}><a:p><a:t>Tien</a:t></a:p></s>", "ppt/slides/_rels/slide2.xml.rels": f'<R><r Type="{rel}" Target="../notesSlides/n.xml"/></R>', "ppt/notesSlides/n.xml": f"<s {A}><a:p><a:t>noot</a:t></a:p></s>"})
-    assert files.decode_one(pptx, "pptx")[1] == [("dia 2", "Twee\n[notities] noot"), ("dia 10", "Tien")]
+    assert files.decode_one(pptx, "pptx")[1] == [("dia 1", "Twee\n[notities] noot"), ("dia 2", "Tien")]
     assert files.decode_one(make_pdf(), "pdf") == ("ok", [("pagina 1", "Hallo (wereld)")], {"title": "T"})
     assert files.decode_one(make_pdf(b"", True), "pdf")[0] == "empty" and files.decode_one(make_pdf(b"", True), "pdf")[2]["_ocr_kandidaat_paginas"] == "1"
     assert files.decode_one(b"stuk", "docx")[0] == "unreadable" and files.decode_one(None, "pdf")[0] == "unreadable" and files.decode_one(b"x", "doc")[0] == "unsupported"
@@ -210,3 +234,74 @@ def test_stream_resumes(spark, tmp_path):
 def test_config(tmp_path):
     c = Config.of({"seeds": ["https://A.nl/x", None, ""], "toegestane_domeinen": ["b.nl"], "eigen_domeinen": ["@C.nl"], "max_pages": "7", "onbekend": 1, "detectors": {"bsn": False}}, str(tmp_path))
     assert c.toegestane_domeinen == ["a.nl", "b.nl"] and c.eigen_domeinen == ["c.nl"] and c.max_pages == 7 and c.detectors == {"bsn": False} and c.output_dir == str(tmp_path / "output")
+
+
+def service(conf=None):
+    """A meeting service with two types, one without public meetings, and a meeting that only the second operation gives."""
+    meetings = {"m1": {"Id": "m1", "MeetingtypeId": "t1", "MeetingDate": "2024-05-06T10:00", "Documents": {"iBabsDocument": [{"Id": "d1", "FileName": "a.DOCX", "PublicDownloadURL": "https://r/d1"}, None]}}, "m2": {"Id": "m2", "MeetingtypeId": "t1", "MeetingItems": [{"Features": "3", "Documents": [{"Id": "d2", "FileName": "b", "PublicDownloadURL": "https://r/d2"}]}]}}
+
+    def call(operation, **a):
+        if operation == "GetMeetingtypes":
+            return {"Status": "OK", "Meetingtypes": {"iBabsMeetingtype": [{"Id": "t1"}, {"Id": "t2"}]}}
+        if operation == "GetMeetingsByMeetingtype":
+            return {"Status": "OK", "Meetings": [{"Id": "m1"}, {"Id": "m2"}, {"Id": "m1"}]} if a["MeetingtypeId"] == "t1" else {"Status": "ERR", "Message": "No public meetings"}
+        if operation == "GetMeetingsChangedSince":
+            return {"Status": "OK", "MeetingHeaders": [{"MeetingId": "m2", "MeetingtypeId": "t1"}, {"MeetingId": "x", "MeetingtypeId": "t2"}]}
+        if operation == "GetMeetingsByPublishDateRange":
+            return {"Status": "ERR", "Message": "kapot"}
+        if operation == "GetMeeting":
+            return {"Status": "OK", "Meeting": meetings[a["MeetingId"]]} if a["MeetingId"] == "m1" else {"Status": "ERR"}
+        return {"Status": "OK", "Meeting": meetings[a["MeetingId"]]}
+
+    return call
+
+
+def test_meeting_service(spark):
+    from lakmoes.sources import live
+
+    assert live.meeting_ids(service(), "s") == ["m1", "m2"] and live.meeting_ids(service(), "s", types=["t1"], since="2024-01-01") == ["m2"]
+    for bad in ({"types": ["t9"]}, {"start": "2024-01-01"}, {"since": "gisteren"}, {"types": ["t9"], "since": "2024-01-01"}):
+        with pytest.raises(live.ServiceError):
+            live.meeting_ids(service(), "s", **bad)
+    docs, status = registry.read_sources(spark, [{"type": "ibabs", "naam": "raad", "sitename": "s", "service": "tests.test_sources:service"}])
+    assert sorted((r["doc_id"], r["ext"], r["meta"]["niveau"]) for r in docs.collect()) == [("d1", "docx", "vergadering"), ("d2", "pdf", "agendapunt 3")]
+    assert status.first()["gelezen"] and live.items_of({"x": 1, "y": [1, None]}) == [1] and live.items_of("a") == ["a"] and live.items_of(None) == []
+
+
+def land(folder, answers):
+    folder.mkdir()
+    for (url, data), text in answers.items():
+        (folder / fetch.landed_name(url, data)).write_text(text)
+
+
+def test_paged_services(spark, tmp_path):
+    from lakmoes.sources import live
+
+    q = lambda at, n, since=None: live._search_url("https://z", records.search_query("A", since), at, n)
+    rec = lambda i, more="": f"<record><title>T{i}</title><itemUrl manifestation='pdf'>https://d/{i}</itemUrl>{more}</record>"
+    g = "0" * 8 + "-0000-0000-0000-" + "0" * 11
+    land(tmp_path / "in", {
+        (q(1, 2), None): f"<r><numberOfRecords>5</numberOfRecords>{rec(1, '<externeBijlage>k|1.pdf|exb-2024-7</externeBijlage>')}<record/><nextRecordPosition>3</nextRecordPosition></r>",
+        (q(3, 2), None): f"<r>{rec(2)}<nextRecordPosition>3</nextRecordPosition></r>", (q(None, 0), None): "<r><numberOfRecords>5</numberOfRecords></r>",
+        (q(1, 2, "2025-01-01"), None): "<r/>", ("https://b/exb-2024-7/1/", None): "<w><expression label='2'><manifestation label='pdf'><item label='x.pdf'/></manifestation></expression></w>",
+        ("https://c/_cat/indices?format=json&h=index,docs.count", None): '[{"index":"ori_x_1"},{"index":"ori_x_2"},{"index":"ori_y_3"}]',
+        ("https://c/ori_x_2/_search", '{"size": 1, "sort": ["_doc"], "query": {"exists": {"field": "text"}}}'): '{"hits":{"hits":[{"_id":"1","_source":{"text":"t"},"sort":[7]}]}}',
+        ("https://c/ori_x_2/_search", '{"size": 1, "sort": ["_doc"], "query": {"exists": {"field": "text"}}, "search_after": [7]}'): '{"hits":{"hits":[]}}',
+        ("https://h.nl/vji/public/motie/action=datalist/yr=2024", None): '{"rows":[{"hexkey":"k","subject":"S"}]}', ("https://h.nl/vji/public/motie/action=datalist/yr=2025", None): '[{"hexkey":"k","subject":"S"}]',
+        ("https://h.nl/vji/public/motie/action=detaildata/gd=k", None): '{"x":[{"link":"/f/showdoc/1.pdf"}]}',
+        ("https://p/", None): f'<a href="/Organisatie/{g}1"><b>Stad</b> A</a>', (f"https://p/Organisatie/{g}1?p=1", None): f"/Publicatie/{g}2 /Publicatie/{g}3", (f"https://p/Organisatie/{g}1?p=2", None): f"/Publicatie/{g}2",
+        (f"https://p/Publicatie/{g}2", None): f'<h1>Bouw</h1><li class="document"><a href="/api-public/document/{g}4"></a><div>K.XLSX</div></li>', (f"https://p/Publicatie/{g}3", None): "<h1>Leeg</h1>",
+    })
+    o = {"opener": "lakmoes.sources.fetch:landed", "folder": str(tmp_path / "in")}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    opts = {**o, "endpoint": "https://z", "page_size": "2", "attachments": "https://b"}
+    df = live.announcements(spark, ["A", "niet"], **opts)
+    assert [(r["url"], r["titel"]) for r in df.where("slice = 'A'").orderBy("url").collect()] == [("https://b/exb-2024-7/2/pdf/x.pdf", "T1 · bijlage: k|1.pdf"), ("https://d/1", "T1"), ("https://d/2", "T2")]
+    assert [r["slice"] for r in live.failed_slices(df).collect()] == ["niet"]
+    assert live.announcements(spark, ["A"], "2025-01-01", **opts).count() == 3  # nothing since: all of it
+    assert live.search_count(fetch.landed(o), "https://z", "A") == 5 and live.search_count(fetch.landed(o), "https://z", "B") == -1
+    conf = [{"type": "openraadsinformatie", "naam": "raad", "gemeenten": ["X"], "endpoint": "https://c", "page_size": 1, **o}, {"type": "parlaeus", "naam": "m", "sites": [{"host": "h.nl"}], "modules": ["motie"], "van": 2024, "tot": 2025, **o}, {"type": "mijnpublicaties", "naam": "p", "endpoint": "https://p", "organisatie_naam": "Stad A", **o}, {"type": "sru", "naam": "z", "creators": ["niet"], "endpoint": "https://z", **o}]
+    docs, status = registry.read_sources(spark, conf)
+    assert sorted((r["bron"], r["doc_id"], r["url"], r["ext"], r["titel"]) for r in docs.collect()) == sorted([("raad", "X:1", None, None, ""), ("m", None, "https://h.nl/f/showdoc/1.pdf", "pdf", "S"), ("p", g + "4", f"https://p/api-public/document/{g}4", "xlsx", "Bouw - K.XLSX")])
+    assert {r["naam"]: r["gelezen"] for r in status.collect()} == {"raad": True, "m": True, "p": True, "z": False}
+    assert live.modules_of(fetch.landed(o), "https://h.nl/vji/public") == list(records.FALLBACK_MODULES)
