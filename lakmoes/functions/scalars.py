@@ -12,7 +12,7 @@ EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 IBAN = r"\bNL\d{2}\s?[A-Z]{4}\s?(?:\d{4}\s?){2}\d{2}\b"
 DIGITS = r"\d[\d .]{4,}\d"
 NO_LETTERS = ("SA", "SD", "SS")
-SHORT_WORDS = "en in op te of is er om na af uit ex tm tv nr as za zo ma di wo do vr".split()
+SHORT_WORDS = ("en", "in", "op", "te", "of", "is", "er", "om", "na", "af", "uit", "ex", "tm", "tv", "nr", "as", "za", "zo", "ma", "di", "wo", "do", "vr")
 # Kinds of permit by what a title contains, the first that fits.
 PERMITS = (
     ("omgevingsvergunning", "Omgevingsvergunning"), ("kapvergunning", "Kapvergunning"), ("kappen", "Kapvergunning"),
@@ -69,7 +69,7 @@ def snippet(before: Column, value: Column, after: Column, width: int = 45) -> Co
 def postcode_ok(value: Column) -> Column:
     """Whether four digits and two letters can be a postcode and not a year with a short word."""
     digits, letters = F.left(value, F.lit(4)).try_cast("int"), F.right(value, F.lit(2))
-    lower = ~F.lower(letters).isin(SHORT_WORDS) & ~digits.between(1900, 2099)
+    lower = ~F.lower(letters).isin(*SHORT_WORDS) & ~digits.between(1900, 2099)
     return ~F.upper(letters).isin(*NO_LETTERS) & (letters.rlike("^[A-Z]{2}$") | lower)
 
 
@@ -121,3 +121,10 @@ def html_escaped(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
+
+
+def html_unescaped(c: Column) -> Column:
+    """The reverse of html_escaped; numbers of characters too are left to a parser."""
+    for a, b in (("&#x27;", "'"), ("&#39;", "'"), ("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c

@@ -102,3 +102,47 @@ def capped(df: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
 def slices(creators: DataFrame, first: int, last: int) -> DataFrame:
     """(creator, jaar): the slices of a backfill, one per creator and year; a creator gives a handful of rows of its own, no join."""
     return creators.distinct().select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("jaar"))
+
+
+STATES = ("todo", "busy", "done", "error", "skipped")
+
+
+def marked(manifest: DataFrame, updates: DataFrame, keep: tuple[str, ...] = ("sha256", "local_path", "note")) -> DataFrame:
+    """manifest (url, status, ...) with the updates (url, status and some of `keep`) laid over it: a status always, the rest only where it is told, the old value otherwise.
+
+    Of several updates of an address the last by `nr` counts as a whole; updates of addresses that the manifest lacks change nothing.
+    """
+    have = [c for c in keep if c in updates.columns]
+    u = updates.groupBy(F.col("url").alias("_url")).agg(F.max_by(F.struct("status", *have), F.col("nr")).alias("_u"))
+    new = {"status": F.coalesce("_u.status", "status"), **{c: F.coalesce(f"_u.{c}", c) for c in have}}
+    return manifest.join(u, F.col("url") == F.col("_url"), "left").withColumns(new).select(*manifest.columns)
+
+
+def claimed(manifest: DataFrame, runner: int, runners: int, order: str, most: int | None = None) -> DataFrame:
+    """The rows with status todo that fall to one of several runners, at most `most` in the stated order, with status busy.
+
+    Addresses are dealt by hash, so no two runners take the same, without a lock; the claim counts once it is
+    committed (`incremental`), and `requeued` gives back what a crash left.
+    """
+    mine = manifest.where((F.col("status") == "todo") & (F.pmod(F.xxhash64("url"), F.lit(runners)) == runner))
+    mine = mine.orderBy(order).limit(most) if most is not None else mine
+    return mine.withColumn("status", F.lit("busy"))
+
+
+def requeued(manifest: DataFrame) -> DataFrame:
+    """manifest with busy rows back at todo."""
+    return manifest.withColumn("status", F.when(F.col("status") == "busy", F.lit("todo")).otherwise(F.col("status")))
+
+
+def state_counts(manifest: DataFrame, status: str = "status") -> DataFrame:
+    return manifest.groupBy(F.col(status).alias("toestand")).agg(F.count("*").alias("n"))
+
+
+def migrated(old: DataFrame, columns: tuple[str, ...] = ("titel", "herkomst")) -> DataFrame:
+    """A manifest of before some columns existed, with those as null."""
+    return old.withColumns({c: F.lit(None).cast("string") for c in columns if c not in old.columns})
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """The report rows that are listed one by one, with the name of the file for its path."""
+    return rows.where(~F.col("ernst").isin("Middel", "Laag")).withColumn("local_path", F.substring_index("local_path", "/", -1))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakmoes import source_queries, source_sql
 from lakmoes.functions import scalars as S
 from lakmoes.functions.urls import normal_digest, normal_key, normal_status, normal_url
 from lakmoes.operators import crawl, detectors, incremental, manifest
@@ -385,6 +386,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_scan": stream_scan,
 }
 
+QUERIES |= source_queries.QUERIES
+
+
 def _case(texts: tuple[str, ...], key: str, value: str) -> str:
     """The SQL for a text by key."""
     return "CASE " + " ".join(f"WHEN {key} % {len(texts)} = {i} THEN '{a}' || {value} || '{b}'" for i, (a, b) in enumerate(t.replace("'", "''").split("{}") for t in texts)) + " END"
@@ -459,3 +463,5 @@ m AS (SELECT bron, lower(regexp_replace(doc_id, '\s+', '', 'g')) AS sl, max(geda
 SELECT 'files' AS tabel, f.file_id AS id FROM f LEFT JOIN done USING (adres, digest) WHERE rn = 1 AND coalesce(st, 'todo') <> 'skipped' AND done.digest IS NULL
 UNION ALL SELECT 'bron_document', b.rij_id FROM b LEFT JOIN m ON b.bron = m.bron AND b.sl = m.sl WHERE rn = 1 AND NOT coalesce(m.gedaan >= b.opgehaald_op, false)""",
 }
+
+SQL |= source_sql.SQL

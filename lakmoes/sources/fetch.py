@@ -6,6 +6,7 @@ The functions take the opener as an argument, so that nothing here needs a netwo
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import time
 from collections.abc import Callable, Iterable
@@ -104,6 +105,17 @@ def landed(options: dict[str, str]) -> Callable[..., Response]:
     return open_
 
 
+def given(options: dict[str, str]) -> Callable[..., Response]:
+    """An opener over the answers in the option `answers`, a JSON object by `landed_name`; 404 for other requests."""
+    answers = json.loads(options["answers"])
+
+    def open_(url: str, data: str | None = None) -> Response:
+        text = answers.get(landed_name(url, data))
+        return Response(404, {}, []) if text is None else Response(200, {}, [text.encode()])
+
+    return open_
+
+
 def download(opener: Callable[[str], Response], url: str, folder: str, max_mb: int = 60, retries: int = 4, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str, int]:
     """(sha256, path, bytes) of a download, named by its content. The cap holds for the announced and for the counted size; a part file never gets the final name."""
     cap = max_mb * 1024 * 1024

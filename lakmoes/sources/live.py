@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
 
+from lakmoes.plans.stage import stage
 from lakmoes.sources.fetch import Response
 from lakmoes.sources.records import FALLBACK_MODULES, NO_MODULES, document_links, search_query
 
@@ -286,6 +287,7 @@ class LiveReader(DataSourceReader):
 
 def read(spark: SparkSession, kind: str, slices: list[tuple], **options: str) -> DataFrame:
     """The rows of a service, a partition for each slice."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LiveSource)
     lines = "\n".join("\t".join("" if x is None else str(x) for x in s) for s in slices)
     return spark.read.format("lakmoes_live").options(kind=kind, slices=lines, **options).load()
@@ -293,7 +295,8 @@ def read(spark: SparkSession, kind: str, slices: list[tuple], **options: str) ->
 
 def announcements(spark: SparkSession, creators: list[str], since: str | None = None, until: str | None = None, **options: str) -> DataFrame:
     """The documents of each creator since a day. A creator without any is searched again without that day, but not within a period that ends: an empty year must not bring in all of history."""
-    found = read(spark, "search", [(c, since, until) for c in creators], **options).cache()
+    found = read(spark, "search", [(c, since, until) for c in creators], **options)
+    found = stage(found, "announcements")  # a service is asked once
     if since and not until:
         some = {r[0] for r in found.select("slice").distinct().collect()}
         empty = [c for c in creators if c not in some]

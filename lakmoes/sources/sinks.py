@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakmoes.functions.scalars import without_controls
-from lakmoes.operators.manifest import by_kind, by_severity, has_routing, ordered
+from lakmoes.operators.manifest import by_kind, by_severity, has_routing, ordered, shown
 
 BASE = (("ernst", "Ernst"), ("soort", "Soort"), ("waarde_masked", "Waarde (gemaskeerd)"), ("locatie", "Locatie"), ("url", "URL"), ("local_path", "Bestand"), ("context", "Context"), ("opmerking", "Opmerking"))
+#: Rows below the header, by the format.
+SHEET_ROWS = 1_048_575
 EXTRA = (("gemeente", "Gemeente"), ("onderwerp", "Onderwerp"), ("vergunning", "Vergunning"))
 
 
@@ -38,7 +40,7 @@ def write_html(rows: DataFrame, path: str, n_files: int, n_pages: int, intro: st
     cols = _columns(rows)
     counts = by_severity(rows).orderBy("rang", "ernst").collect()
     kinds = by_kind(rows).orderBy("ernst", "volgorde").collect()
-    top = ordered(rows.where(~F.col("ernst").isin("Middel", "Laag"))).withColumn("local_path", F.substring_index("local_path", "/", -1))
+    top = ordered(shown(rows))
     with open(path, "w", encoding="utf-8") as f:
         f.write("<!doctype html><html lang='nl'><head><meta charset='utf-8'><title>Bevindingen</title></head><body>\n<h1>Bevindingen</h1>\n")
         f.write(intro + f"\n<p>{n_files} bestanden, {n_pages} pagina's, {sum(r['n'] for r in counts)} bevindingen</p>\n<p>" + " · ".join(f"{escape(r['ernst'] or '')}: {r['n']}" for r in counts) + "</p>\n")
@@ -82,8 +84,10 @@ def write_workbook(path: str, header: Sequence[str], rows: Iterable[Sequence[str
 
 
 def write_excel(rows: DataFrame, path: str) -> int:
-    """All findings as a workbook on the driver, without control characters. A sheet ends at 1,048,575 rows; beyond that use the table."""
+    """All findings as a workbook on the driver, without control characters. More rows than a sheet takes are an error: the table has them all."""
     _refuse_raw(rows)
+    if (n := rows.count()) > SHEET_ROWS:
+        raise ValueError(f"{n} findings, a sheet takes {SHEET_ROWS}; use the table of findings")
     cols = _columns(rows)
     out = ordered(rows).select(*[without_controls(F.col(c)).alias(c) for c, _ in cols])
     return write_workbook(path, [h for _, h in cols], ([r[c] for c, _ in cols] for r in out.toLocalIterator()))

@@ -13,12 +13,12 @@ def documents(spark: SparkSession, path: str, schema: StructType | str, files_pe
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def scan_stream(docs: DataFrame, keys: list[str], out: str, checkpoint: str, arrived: str | None = None, late: str = "7 days", own_domains: tuple[str, ...] = (), **cols) -> StreamingQuery:
+def scan_stream(docs: DataFrame, keys: list[str], out: str, checkpoint: str, arrived: str | None = None, late: str = "7 days", own_domains: tuple[str, ...] = (), enabled: dict[str, bool] | None = None, **cols) -> StreamingQuery:
     """Scan what has landed and stop: masked findings under `out`, progress under `checkpoint`.
 
     The file sink and the checkpoint make a restarted run go on where the last one committed. Documents with
     equal keys are scanned once: without a time column for as long as the state is kept, with one within `late`.
     """
     once = docs.withWatermark(arrived, late).dropDuplicatesWithinWatermark(keys) if arrived else docs.dropDuplicates(keys)
-    found = scan_documents(once, keys, own_domains, **cols)
+    found = scan_documents(once, keys, own_domains, enabled, **cols)
     return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
