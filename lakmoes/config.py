@@ -14,7 +14,7 @@ def _texts(x) -> list[str]:
 
 @dataclass
 class Config:
-    """Unknown keys are ignored; a relative output folder is taken from the folder of the file. paginas is the table of landed pages (url, html) that seeds are walked over."""
+    """Unknown keys are ignored; a relative output folder is taken from the folder of the file. paginas is the table of landed pages (url, html) that seeds are walked over; opener ("module:factory") is how addresses are fetched, without one they are only listed."""
 
     seeds: list[str] = field(default_factory=list)
     toegestane_domeinen: list[str] = field(default_factory=list)
@@ -23,6 +23,9 @@ class Config:
     detectors: dict[str, bool] = field(default_factory=dict)
     output_dir: str = "output"
     paginas: str = ""
+    gemeenten: list[str] = field(default_factory=list)
+    opener: str = ""
+    opener_options: dict[str, str] = field(default_factory=dict)
     max_pages: int = 5000
     max_files: int = 20000
     max_depth: int = 8
@@ -35,6 +38,8 @@ class Config:
         for k in ("max_pages", "max_files", "max_depth", "max_mb"):
             setattr(c, k, int(d.get(k, getattr(c, k))))
         c.paginas = os.path.join(base, str(d["paginas"])) if d.get("paginas") else ""
+        c.gemeenten = _texts(d.get("gemeenten"))
+        c.opener, c.opener_options = str(d.get("opener") or ""), {str(k): str(v) for k, v in (d.get("opener_options") or {}).items()}
         c.delay_seconds = float(d.get("delay_seconds", c.delay_seconds))
         c.seeds, c.bronnen = _texts(d.get("seeds")), [b for b in d.get("bronnen") or [] if isinstance(b, Mapping)]
         c.eigen_domeinen = [x.lstrip("@").lower() for x in _texts(d.get("eigen_domeinen"))]

@@ -9,8 +9,15 @@ import hashlib
 import json
 import os
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from importlib import import_module
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lakmoes.operators.crawl import host
 
 # States of a server that pass, and the seconds to wait before each further try.
 PASSING = (429, 500, 502, 503, 504)
@@ -116,8 +123,8 @@ def given(options: dict[str, str]) -> Callable[..., Response]:
     return open_
 
 
-def download(opener: Callable[[str], Response], url: str, folder: str, max_mb: int = 60, retries: int = 4, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str, int]:
-    """(sha256, path, bytes) of a download, named by its content. The cap holds for the announced and for the counted size; a part file never gets the final name."""
+def asked(opener: Callable[..., Response], url: str, max_mb: int = 60, retries: int = 4, sleep: Callable[[float], None] = time.sleep) -> Iterable[bytes]:
+    """The blocks of a download, tried again by the schedule. The cap holds for the announced and for the counted size."""
     cap = max_mb * 1024 * 1024
     for attempt in range(retries + 1):
         r = opener(url)
@@ -126,23 +133,59 @@ def download(opener: Callable[[str], Response], url: str, folder: str, max_mb: i
             continue
         if r.status != 200:
             raise GivenUp(f"HTTP {r.status}")
-        size = r.headers.get("Content-Length", "")
+        size, n = r.headers.get("Content-Length", ""), 0
         if size.isdigit() and int(size) > cap:
             raise TooLarge(url)
-        digest, n, part = hashlib.sha256(), 0, os.path.join(folder, f".part-{os.getpid()}-{hashlib.sha1(url.encode()).hexdigest()}")
-        try:
-            with open(part, "wb") as f:
-                for block in r.body:
-                    n += len(block)
-                    if n > cap:
-                        raise TooLarge(url)
-                    digest.update(block)
-                    f.write(block)
-            ext = os.path.splitext(url.split("?")[0].split("#")[0])[1].lower()
-            path = os.path.join(folder, digest.hexdigest() + (ext if ext else ".bin"))
-            os.replace(part, path)
-            return digest.hexdigest(), path, n
-        finally:
-            if os.path.exists(part):
-                os.remove(part)
+        for block in r.body:
+            n += len(block)
+            if n > cap:
+                raise TooLarge(url)
+            yield block
+        return
     raise GivenUp("no try left")
+
+
+def extension(url: str) -> str:
+    """The extension of the path of an address in lower case, without the dot; bin if it has none."""
+    return os.path.splitext(url.split("?")[0].split("#")[0])[1].lower().lstrip(".") or "bin"
+
+
+def download(opener: Callable[..., Response], url: str, folder: str, max_mb: int = 60, retries: int = 4, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str, int]:
+    """(sha256, path, bytes) of a download, named by its content. A part file never gets the final name."""
+    digest, n, part = hashlib.sha256(), 0, os.path.join(folder, f".part-{os.getpid()}-{hashlib.sha1(url.encode()).hexdigest()}")
+    try:
+        with open(part, "wb") as f:
+            for block in asked(opener, url, max_mb, retries, sleep):
+                n += len(block)
+                digest.update(block)
+                f.write(block)
+        path = os.path.join(folder, f"{digest.hexdigest()}.{extension(url)}")
+        os.replace(part, path)
+        return digest.hexdigest(), path, n
+    finally:
+        if os.path.exists(part):
+            os.remove(part)
+
+
+def _contents(options: dict[str, str], max_mb: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        module, _, name = options["opener"].partition(":")
+        opener = getattr(import_module(module), name)(options)
+        for batch in batches:
+            for url in batch.column("url").to_pylist():
+                content, why = None, None
+                try:
+                    content = b"".join(asked(opener, url, max_mb))
+                except Exception as e:  # one address never stops the others
+                    why = f"{type(e).__name__}: {e}"[:200]
+                sha = hashlib.sha256(content).hexdigest() if content is not None else None
+                row = (url, extension(url), sha, content, why)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()))], names=["url", "ext", "sha256", "content", "fout"])
+
+    return run
+
+
+def contents(addresses: DataFrame, options: dict[str, str], max_mb: int = 60) -> DataFrame:
+    """(url, ext, sha256, content, fout) of addresses (url), by the opener that options name ("module:factory"). All addresses of a host fall to one task, which keeps the pace for it."""
+    by_host = addresses.where(F.col("url").isNotNull()).repartition(host(F.col("url")))
+    return by_host.select("url").mapInArrow(_contents(options, max_mb), "url string, ext string, sha256 string, content binary, fout string")

@@ -84,6 +84,11 @@ def _fit(df: DataFrame, bron: str) -> DataFrame:
     return df.select(*[F.lit(bron).alias(c) if c == "bron" else (F.col(c).cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in kinds.items()])
 
 
+def fitted(df: DataFrame) -> DataFrame:
+    """df with exactly the columns of a document; it has a source of its own for each row."""
+    return df.select(*_fit(df, "").columns)
+
+
 def _announcements(spark: SparkSession, conf: dict) -> DataFrame:
     a = records.announcements(records.read_announcements(spark, conf["path"]))
     pages = a.where(F.col("pdf_url").isNotNull()).select(F.col("pdf_url").alias("url"), "titel", F.lit("pdf").alias("ext"))
@@ -109,11 +114,16 @@ def _options(conf: dict, *names: str) -> dict[str, str]:
 
 
 def _search(spark: SparkSession, conf: dict) -> DataFrame:
-    """Announcements: landed responses at path, or a search at endpoint for each of creators."""
+    """Announcements: landed responses at path, or a search at endpoint for each of creators. With `jaren` year by year, where a year that fails is listed and leaves the others."""
     if conf.get("path"):
         return _announcements(spark, conf)
     if not conf.get("creators"):
         raise SourceNotReady("a search needs creators")
+    if conf.get("jaren"):
+        slices = [(c, f"{j}-01-01", f"{j}-12-31") for j in conf["jaren"] for c in conf["creators"]]
+        found = stage(live.read(spark, "search", slices, **_options(conf, "attachments")), "years")
+        conf["_mislukt"] = [(f"{r['slice']}", r["fout"]) for r in live.failed_slices(found).collect()]
+        return found.where("fout is null").select("url", "ext", "titel").distinct()
     return _told(live.announcements(spark, conf["creators"], conf.get("since"), conf.get("until"), **_options(conf, "attachments"))).select("url", "ext", "titel").distinct()
 
 
@@ -247,7 +257,9 @@ def read_sources(spark: SparkSession, sources: list[dict]) -> tuple[DataFrame, D
             continue
         try:
             docs.append(stage(_fit(CONNECTORS[kind](spark, conf), naam), "source"))
+            bad = conf.pop("_mislukt", [])
             status.append((naam, kind, True, ""))
+            status += [(f"{naam}: {x}", kind, False, why) for x, why in bad]
         except Exception as e:  # one source never stops the others
             status.append((naam, kind, False, f"{type(e).__name__}: {str(e)[:200]}"))
     none = spark.createDataFrame([], DOCUMENT)

@@ -19,14 +19,15 @@ SHEET_ROWS = 1_048_575
 EXTRA = (("gemeente", "Gemeente"), ("onderwerp", "Onderwerp"), ("vergunning", "Vergunning"))
 
 
-def _refuse_raw(df: DataFrame) -> None:
+def refuse_raw(df: DataFrame) -> None:
+    """An error if findings still have raw values."""
     if "waarde" in df.columns:
         raise ValueError("raw values must be masked before a sink")
 
 
 def append_findings(findings: DataFrame, path: str) -> None:
     """Append masked findings to the table at path, in folders by severity."""
-    _refuse_raw(findings)
+    refuse_raw(findings)
     findings.write.mode("append").partitionBy("ernst").parquet(path)
 
 
@@ -36,7 +37,7 @@ def _columns(rows: DataFrame) -> list[tuple[str, str]]:
 
 def write_html(rows: DataFrame, path: str, n_files: int, n_pages: int, intro: str = "") -> None:
     """The report: counts by severity, the kinds of the lower ones, and each row of the higher ones. Rows come to the driver one partition at a time."""
-    _refuse_raw(rows)
+    refuse_raw(rows)
     cols = _columns(rows)
     counts = by_severity(rows).orderBy("rang", "ernst").collect()
     kinds = by_kind(rows).orderBy("ernst", "volgorde").collect()
@@ -85,7 +86,7 @@ def write_workbook(path: str, header: Sequence[str], rows: Iterable[Sequence[str
 
 def write_excel(rows: DataFrame, path: str) -> int:
     """All findings as a workbook on the driver, without control characters. More rows than a sheet takes are an error: the table has them all."""
-    _refuse_raw(rows)
+    refuse_raw(rows)
     if (n := rows.count()) > SHEET_ROWS:
         raise ValueError(f"{n} findings, a sheet takes {SHEET_ROWS}; use the table of findings")
     cols = _columns(rows)

