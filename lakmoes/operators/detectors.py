@@ -64,6 +64,15 @@ COMPANY_NEAR = r"(?iU)\bbtw|\b(?:rsin|kvk|omzetbelasting|vat)\b|\bob[- ]?nummer\
 CASE_BEFORE = r"(?id)(?:[A-Za-z]{1,8}[-/](?:\d{2,4}[-/])?|[A-Za-z]|(?:zaak|dossier|registratie|besluit|document|kenmerk|corsa|olo)\s*(?:nummer|nr\.?|kenmerk)?\s*[:\-]?\s*)$"
 DRAWING_BEFORE = r"(?iUd)\b(?:situatie|bouw|overzicht|detail|constructie)?tekening(?:nummer)?\s*:?\s*$"
 
+PLUS_BEFORE = r"(?Ud)\+\s*$"
+VAT_BEFORE = r"(?iUd)\bnl\s?$"
+VAT_AFTER = r"(?iU)^\s?b\d{2}\b"
+MONEY_BEFORE = r"(?id)(?:€|eur|euro)\s*$"
+MONEY_AFTER = r"^\s?,-|^[.,]\d{2}(?!\d)"
+MONEY_FORM = r"\d{1,3}(?:\.\d{3}){2,}"
+REFERENCE_AFTER = "^[A-Za-z/]"
+ARTICLE_BEFORE = r"(?iUd)\bartikel\s*$"
+
 
 def bsn_context_noise(fragment: Column) -> Column:
     """Why a number in this fragment, masked or not, is no citizen number; empty if nothing tells."""
@@ -82,11 +91,11 @@ def bsn_noise(before: Column, value: Column, after: Column) -> Column:
     noise = bsn_context_noise(fragment)
     return (
         F.when(F.right(before, F.lit(60)).rlike(BSN_TERMS), F.lit(""))
-        .when(near.rlike(r"(?Ud)\+\s*$") | F.right(before, F.lit(25)).rlike(PHONE_NEAR), F.lit("deel van een telefoonnummer"))
-        .when((near.rlike(r"(?iUd)\bnl\s?$") & next_.rlike(r"(?iU)^\s?b\d{2}\b")) | tight.rlike(COMPANY_NEAR), F.lit("BTW-, RSIN- of KvK-nummer"))
-        .when(near.rlike(r"(?id)(?:€|eur|euro)\s*$") | next_.rlike(r"^\s?,-|^[.,]\d{2}(?!\d)") | value.rlike(r"\d{1,3}(?:\.\d{3}){2,}"), F.lit("deel van een geldbedrag"))
-        .when(next_.rlike("^[A-Za-z/]") | near.rlike(CASE_BEFORE), F.lit("referentiekenmerk van een zaak of besluit"))
-        .when(near.rlike(r"(?iUd)\bartikel\s*$"), F.lit("artikelnummer van een regeling"))
+        .when(near.rlike(PLUS_BEFORE) | F.right(before, F.lit(25)).rlike(PHONE_NEAR), F.lit("deel van een telefoonnummer"))
+        .when((near.rlike(VAT_BEFORE) & next_.rlike(VAT_AFTER)) | tight.rlike(COMPANY_NEAR), F.lit("BTW-, RSIN- of KvK-nummer"))
+        .when(near.rlike(MONEY_BEFORE) | next_.rlike(MONEY_AFTER) | value.rlike(MONEY_FORM), F.lit("deel van een geldbedrag"))
+        .when(next_.rlike(REFERENCE_AFTER) | near.rlike(CASE_BEFORE), F.lit("referentiekenmerk van een zaak of besluit"))
+        .when(near.rlike(ARTICLE_BEFORE), F.lit("artikelnummer van een regeling"))
         .when(near.rlike(DRAWING_BEFORE), F.lit("tekeningnummer bij een besluit"))
         .when(noise != "", noise)
         .when(number_table(table), F.lit("cijfer uit een getallentabel"))
@@ -116,6 +125,17 @@ class Detector:
     severity: Callable[[Column, Column, Column], Column]
     remark: Callable[[Column, Column, Column], Column]
     value: Callable[[Column], Column] = lambda v: v
+    #: What a text without any hit mostly lacks, told without a pattern; the pattern is tried only where it holds.
+    near: Callable[[Column], Column] | None = None
+
+
+#: Makers of further detectors, called with the own domains; see `add_detector`.
+_MORE: list[Callable[[Sequence[str]], Detector]] = []
+
+
+def add_detector(maker: Callable[[Sequence[str]], Detector]) -> None:
+    """Add a detector to those of every later scan; maker gets the own domains."""
+    _MORE.append(maker)
 
 
 def _const(x: str) -> Callable[[Column, Column, Column], Column]:
@@ -146,15 +166,16 @@ def detectors(own_domains: Sequence[str] = ()) -> list[Detector]:
     return [
         Detector("bsn", BSN, lambda b, v, a: S.valid_bsn(digits(v)), _const("BSN"), _either(quiet, "Kritiek", "Laag"),
                  lambda b, v, a: F.when(quiet(b, v, a), F.lit("negen cijfers die de elfproef doorstaan")).otherwise(F.concat(F.lit("doorstaat de elfproef, maar: "), bsn_noise(b, v, a))), digits),
-        Detector("iban", "(?U)" + S.IBAN, lambda b, v, a: S.valid_iban_nl(v), _either(business, "IBAN (zakelijk)", "IBAN"), _either(business, "Laag", "Hoog"), _either(business, "bedrijfsrekening", "rekening die mod 97 doorstaat")),
-        Detector("email", "(?U)" + S.EMAIL, any_, _const("E-mail"), _either(own, "Laag", "Middel"), _either(own, "werkadres op een eigen domein", "")),
+        Detector("iban", "(?U)" + S.IBAN, lambda b, v, a: S.valid_iban_nl(v), _either(business, "IBAN (zakelijk)", "IBAN"), _either(business, "Laag", "Hoog"), _either(business, "bedrijfsrekening", "rekening die mod 97 doorstaat"), near=lambda t: t.contains("NL")),
+        Detector("email", "(?U)" + S.EMAIL, any_, _const("E-mail"), _either(own, "Laag", "Middel"), _either(own, "werkadres op een eigen domein", ""), near=lambda t: t.contains("@")),
         Detector("telefoon", MOBILE, any_, _const("Telefoon (mobiel)"), _const("Middel"), _const("")),
         Detector("telefoon", LANDLINE, any_, _const("Telefoon (vast)"), _const("Laag"), _const("kan een algemeen nummer zijn")),
         Detector("geboortedatum", DATE, lambda b, v, a: _date_parts(v), _const("Geboortedatum"), _either(born, "Hoog", "Laag"), _either(born, "als geboortedatum genoemd", "datum zonder context")),
         Detector("naw", POSTCODE, house, _const("NAW (postcode+huisnr)"), _either(box, "Laag", "Middel"), _either(box, "postbus, geen woonadres", "postcode met huisnummer")),
-        Detector("paspoort_rijbewijs", PASSPORT, lambda b, v, a: F.right(b, F.lit(40)).rlike(ID_TERMS), _const("Paspoort/rijbewijs-nr"), _either(report, "Laag", "Kritiek"), _either(report, "nummer van een rapportbijlage", "nummer bij een term voor een identiteitsbewijs")),
+        Detector("paspoort_rijbewijs", PASSPORT, lambda b, v, a: F.right(b, F.lit(40)).rlike(ID_TERMS), _const("Paspoort/rijbewijs-nr"), _either(report, "Laag", "Kritiek"), _either(report, "nummer van een rapportbijlage", "nummer bij een term voor een identiteitsbewijs"), near=lambda t: t.rlike(ID_TERMS)),
         Detector("persoonsnaam", SALUTED, any_, _const("Persoonsnaam (aanhef)"), _either(lives, "Hoog", "Middel"), _either(lives, "naam met woonadres", "naam na aanhef"),
                  lambda v: F.trim(F.regexp_replace(F.regexp_extract(v, SALUTED, 1), r"(?U)\s+", " "))),
+        *[make(own_domains) for make in _MORE],
     ]
 
 
@@ -171,7 +192,8 @@ def scan(chunks: DataFrame, keep: Sequence[str], enabled: dict[str, bool] | None
         return c.select(*keep, F.lit(0).alias("detector"), F.lit(0).alias("start"), *[F.lit("").alias(x) for x in ("soort", "ernst", "waarde", "context", "opmerking")]).limit(0)
     def found(k: int, d: Detector) -> Column:
         hits = around(F.col(text), find_all(F.col(text), d.pattern))
-        return F.transform(hits, lambda h: record(k=F.lit(k), start=h["start"], end=h["end"], value=h["value"], before=h["before"], after=h["after"])).cast(hit)
+        rows = F.transform(hits, lambda h: record(k=F.lit(k), start=h["start"], end=h["end"], value=h["value"], before=h["before"], after=h["after"])).cast(hit)
+        return rows if d.near is None else F.when(d.near(F.col(text)), rows).otherwise(F.array().cast(hit))
 
     arrays = [found(k, d) for k, d in enumerate(used)]
     # outer: for an inner explode the planner would add a filter that computes all hits a second time

@@ -115,3 +115,14 @@ def test_hidden_sheet_and_disabled(spark):
     assert [r["id"] for r in D.hidden_sheets(df, ["id"]).collect()] == ["a"]
     off = {d.key: False for d in D.detectors()}
     assert D.scan_documents(docs(spark, [("a", "111222333")]), ["id"], (), off, chunks=None, meta=None).count() == 0
+
+
+def test_a_detector_can_be_added(spark):
+    yes = lambda b, v, a: F.lit(True)
+    D.add_detector(lambda own: D.Detector("kenteken", r"\b[A-Z]{2}-\d{2}-\d{2}\b", yes, D._const("Kenteken"), D._const("Laag"), D._const("")))
+    try:
+        d = spark.createDataFrame([(1, "auto XX-12-34 en mail a@b.nl")], "id long, text string")
+        got = D.scan_documents(d, ["id"], chunks=None, meta=None).collect()
+        assert sorted((r["soort"], r["start"]) for r in got) == [("E-mail", 22), ("Kenteken", 5)]
+    finally:
+        D._MORE.clear()
