@@ -104,6 +104,32 @@ def p4_masked(spark: SparkSession, sf: str) -> DataFrame:
     return pii.mask(p4_texts(spark, sf))
 
 
+def p3_derived(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts read as Latin-1 once or twice, restored."""
+    k = F.col("n_nationkey")
+    wrong = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    clean = F.concat(F.lit("Coöperatie Ångström in "), "n_name", F.lit(" – één café"))
+    t = table(spark, sf, "nation").select(F.lit("t").alias("tabel"), k.cast("bigint").alias("id"), F.when(k % 3 == 0, clean).when(k % 3 == 1, wrong(clean)).otherwise(wrong(wrong(clean))).alias("text"))
+    return encoding.restore(t, encoding.garbled_words(encoding.words_of(t, "t", "id", "text"))).select("id", "hersteld", "n_verloren")
+
+
+def p4_derived(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of every kind in one sentence, masked."""
+    k = F.col("c_custkey")
+    n = F.lpad((k * 7919 % 10**10).cast("string"), 10, "0")
+    check = F.lpad((98 - F.concat(F.lit("10112310"), n, F.lit("232100")).cast("decimal(38,0)") % 97).cast("int").cast("string"), 2, "0")
+    iban = F.concat(F.lit("NL"), check, F.when(k % 2 == 0, F.lit("ABNA")).otherwise(F.lit(" ABNA ")), n)
+    mail = F.concat(F.repeat(F.lit("a"), (k % 200 + 1).cast("int")), F.when(k % 3 == 0, F.lit(" (at) ")).otherwise(F.lit("@")), F.lit("post.example"))
+    t = F.concat(F.lit("Geachte heer Voorbeeld, mail "), mail, F.lit(" of bel 06-"), F.lpad((k * 31 % 10**8).cast("string"), 8, "0"), F.lit(", rekening "), iban, F.lit("; Dorpsstraat "), (k % 200 + 1).cast("string"), F.lit(", 2311 EG Leiden. Kenmerk "), k.cast("string"), F.lit("."))
+    texts = table(spark, sf, "customer").select(F.lit("customer").alias("tabel"), k.cast("bigint").alias("id"), F.lit(-1).alias("chunk_idx"), t.alias("text"))
+    return pii.mask(texts).select("id", "gemaskeerd", "n_waarden")
+
+
+def p8_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The labels that rules are taught from, spelt as the areas."""
+    return areas.clean_labels(table(spark, sf, "area_labels"), table(spark, sf, "areas"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return packing.was_split(p6_pack(spark, sf))
 
@@ -185,7 +211,7 @@ i AS (SELECT item_id, array_to_string(w[k:k+11], ' ') AS w FROM (SELECT item_id,
 
 _P6 = "SELECT CAST(capaciteit AS BIGINT) AS capaciteit, count(*) AS documenten, CAST(sum(t) AS BIGINT) AS tokens, count(*) FILTER (WHERE t <= capaciteit) AS heel, 0 AS gaten, 0 AS te_vol, 0 AS te_veel, 0 AS te_duur FROM (SELECT octet_length(encode(text)) + 1 AS t FROM documents WHERE text IS NOT NULL), bakken WHERE {where} GROUP BY capaciteit"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p2_last_batch": p2_last_batch, "p2_classes": p2_classes, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_masked": p4_masked, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p6_limits": p6_limits, "p6_held": p6_held, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_patterns": p1_patterns, "p1_clean": p1_clean, "p2_found": p2_found, "p2_last_batch": p2_last_batch, "p2_classes": p2_classes, "p3_found": p3_found, "p3_restored": p3_restored, "p3_derived": p3_derived, "p4_found": p4_found, "p4_masked": p4_masked, "p4_derived": p4_derived, "p6_found": p6_found, "p6_pack": p6_pack, "p6_room": p6_room, "p6_limits": p6_limits, "p6_held": p6_held, "p7_found": p7_found, "p7_items": p7_items, "p7_proximity": p7_proximity, "p8_found": p8_found, "p8_by_source": p8_by_source, "p8_rules": p8_rules, "p8_labels": p8_labels}
 
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT k.tabel, k.id, CAST(regel_nr AS INTEGER) AS regel_nr FROM k JOIN r ON k.tabel = r.tabel AND k.bron IS NOT DISTINCT FROM r.bron AND k.k = r.k",
@@ -201,6 +227,9 @@ p AS (SELECT a.k AS a, b.k AS b FROM r a JOIN r b ON a.s = b.s AND a.k < b.k AND
 l AS (SELECT k, count(*) AS m FROM (SELECT a AS k FROM p UNION ALL SELECT b FROM p) GROUP BY k)
 SELECT file_id, klasse, coalesce(m, 0) AS buren FROM c LEFT JOIN l ON l.k = c.klasse""",
     "p6_found": "SELECT CAST(capaciteit AS BIGINT) AS capaciteit, doc_id FROM documents, bakken WHERE octet_length(encode(text)) + 1 > capaciteit",
+    "p3_derived": "SELECT n_nationkey AS id, 'Coöperatie Ångström in ' || n_name || ' – één café' AS hersteld, 0 AS n_verloren FROM nation WHERE n_nationkey % 3 > 0",
+    "p4_derived": "SELECT c_custkey AS id, 'Geachte heer [NAAM], mail [EMAIL] of bel [TELEFOON], rekening [REKENING]; [ADRES]. Kenmerk ' || c_custkey || '.' AS gemaskeerd, 5 AS n_waarden FROM customer",
+    "p8_labels": r"SELECT DISTINCT doc_id, a.area FROM area_labels l JOIN areas a ON regexp_replace(lower(trim(regexp_replace(l.area, '[\s\x{A0}]+', ' ', 'g'))), '[ _\-]+', '_', 'g') = regexp_replace(lower(trim(a.area)), '[ _\-]+', '_', 'g') WHERE doc_id IS NOT NULL",
     "p6_held": _P6.format(where="1 = 1"),
     "p6_limits": _P6.format(where="t > capaciteit OR CAST(t AS DOUBLE) * t <= CAST(capaciteit AS DOUBLE) * capaciteit / 2"),
     "p7_found": _P7 + "SELECT DISTINCT doc_id, item_id FROM d JOIN i ON d.w = i.w",
