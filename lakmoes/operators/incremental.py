@@ -98,7 +98,14 @@ def _put_if_absent(spark: SparkSession, root: str, name: str, text: str) -> None
     out.close()
     try:
         if fs.getUri().getScheme() == "file":
-            os.link(urlsplit(tmp).path, urlsplit(final).path)
+            try:
+                os.link(urlsplit(tmp).path, urlsplit(final).path)
+            except FileExistsError:
+                raise
+            except OSError:  # a mount without hard links: the name is still taken by one run only
+                at = os.open(urlsplit(final).path, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o644)
+                os.write(at, text.encode())
+                os.close(at)
         else:
             jvm = spark.sparkContext._jvm
             kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")

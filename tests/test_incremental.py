@@ -83,7 +83,13 @@ def test_watermark_and_atomic_commit(spark, tmp_path):
     assert I.open_run(spark, root, {"files": (files.where("file_id < 3"), "file_id")}).high == {"files": 12}
 
 
-def test_of_two_runs_on_one_commit_one_counts(spark, tmp_path):
+@pytest.mark.parametrize("links", [True, False])
+def test_of_two_runs_on_one_commit_one_counts(spark, tmp_path, links, monkeypatch):
+    def refused(*_):
+        raise PermissionError("no hard links here")
+
+    if not links:
+        monkeypatch.setattr(I.os, "link", refused)
     root = str(tmp_path / "runs")
     rows = spark.range(200)
     a = I.open_run(spark, root, {"t": (rows.where("id < 100"), "id")})
